@@ -143,23 +143,24 @@ def nth_value(df: DataFrame, column: str, n: int, descending: bool = False, limi
     size = values.count()
     if not 1 <= n <= size:
         raise ValueError(f"n must lie in 1..{size}")
-    rank = size - n + 1 if descending else n  # ascending rank inside the bracket
+    rank = size - n + 1 if descending else n  # ascending rank among ``values``
     while size > limit:
         p, slack = rank / size, 2e-4
         low, high = values.agg(
             F.percentile_approx("v", [max(0.0, p - slack), min(1.0, p + slack)], 10_000)
         ).first()[0]
-        below, inside = values.agg(
-            F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))
-        ).first()
-        if low == high and below < rank <= below + inside:
+        v = F.col("v")
+        parts = [v < low, v == low, (v > low) & (v < high), (v == high) & (v > low), v > high]
+        counts = values.agg(*[F.count_if(part) for part in parts]).first()
+        for i, (part, count) in enumerate(zip(parts, counts)):
+            if rank <= count:
+                break
+            rank -= count
+        if i == 1:
             return low
-        if rank <= below:
-            values, size = values.where(F.col("v") < low), below
-        elif rank > below + inside:
-            values, size, rank = values.where(F.col("v") > high), size - below - inside, rank - below - inside
-        else:
-            values, size, rank = values.where(F.col("v").between(low, high)), inside, rank - below
+        if i == 3:
+            return high
+        values, size = values.where(part), count
     return values.orderBy("v").limit(rank).agg(F.max("v")).first()[0]
 
 

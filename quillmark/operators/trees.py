@@ -138,15 +138,10 @@ class StagedBoost:
         return self._leaves(df).select(*df.columns, probability("_leaf").alias(out))
 
 
-def fit_boosted(
-    train: DataFrame, val: DataFrame | None, columns: Sequence[str],
-    params: BoostParams = BOOST_PRESETS["depth3"], label: str = "label",
-) -> Scorer:
-    """Boosted trees; with a validation set the score stops at its best round.
-
-    The monitored metric is macro F1 at ``params.threshold``.  Columns are drawn
-    per node rather than per tree, and there is no leaf regularisation.
-    """
+def boosted_model(
+    train: DataFrame, columns: Sequence[str], params: BoostParams = BOOST_PRESETS["depth3"], label: str = "label"
+) -> StagedBoost:
+    """Fit all rounds.  Columns are drawn per node, leaves are not regularised."""
     gbt = GBTClassifier(
         featuresCol="_x", labelCol=label, maxIter=params.rounds, stepSize=params.rate,
         maxDepth=params.depth, subsamplingRate=params.row_share, maxBins=params.bins,
@@ -154,7 +149,18 @@ def fit_boosted(
         minInstancesPerNode=params.min_rows, seed=params.seed,
     )
     data = assemble(train.where(F.col(label).isNotNull()), columns)
-    model = StagedBoost(gbt.fit(data.select(F.col(label).cast("double").alias(label), "_x")), columns)
+    return StagedBoost(gbt.fit(data.select(F.col(label).cast("double").alias(label), "_x")), columns)
+
+
+def fit_boosted(
+    train: DataFrame, val: DataFrame | None, columns: Sequence[str],
+    params: BoostParams = BOOST_PRESETS["depth3"], label: str = "label",
+) -> Scorer:
+    """Boosted trees; with a validation set the score stops at its best round.
+
+    The monitored metric is macro F1 at ``params.threshold``.
+    """
+    model = boosted_model(train, columns, params, label)
     stop = None
     if val is not None and params.wait is not None:
         stop = model.best_round(val, params.wait, label, params.threshold)

@@ -505,13 +505,13 @@ def quantile_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _POSITION = """, o_{c} as (select {c} as x, row_number() over (order by {c}) - 1 as i, count(*) over () as n from wide),
-  l_{c} as (select k, (n - 1) * k::double / 499 as h, ((n - 1) * k) // 499 as lo, n from range(500) t(k), (select count(*) as n from wide)),
+  l_{c} as (select k, (n - 1) * k::double / 99 as h, ((n - 1) * k) // 99 as lo, n from range(100) t(k), (select count(*) as n from wide)),
   g_{c} as (select min(k) as k0, max(k) as k1, v from (
     select k, a.x + (b.x - a.x) * (h - floor(h)) as v from l_{c} l join o_{c} a on a.i = l.lo join o_{c} b on b.i = least(l.lo + 1, l.n - 1)) group by v),
   n_{c} as (select *, lead(v) over (order by v) as v2, lead(k0) over (order by v) as k2, max(v) over () as top, min(v) over () as bottom from g_{c}),
   p_{c} as (select w.id, round(case when w.{c} = g.bottom then 0 when w.{c} = g.top then 1
-      when w.{c} = g.v then (g.k0 + g.k1) / 2.0::double / 499
-      else (g.k1 + (g.k2 - g.k1) * (w.{c} - g.v) / (g.v2 - g.v)) / 499 end, 6) as {c}
+      when w.{c} = g.v then (g.k0 + g.k1) / 2.0::double / 99
+      else (g.k1 + (g.k2 - g.k1) * (w.{c} - g.v) / (g.v2 - g.v)) / 99 end, 6) as {c}
     from wide w asof join n_{c} g on w.{c} >= g.v)"""
 
 
@@ -520,7 +520,7 @@ _POSITION = """, o_{c} as (select {c} as x, row_number() over (order by {c}) - 1
            [f"p_{_NARROW[0]}"] + [f"p_{c} using (id)" for c in _NARROW[1:]]))
 def quantile_transform(spark: SparkSession, sf: str) -> DataFrame:
     df = materialize(_narrow(spark, sf), "narrow")
-    out = quantile.transform(df, quantile.fit(df, _NARROW, 500))
+    out = quantile.transform(df, quantile.fit(df, _NARROW, 100))
     return out.select("id", *[F.round(c, 6).alias(c) for c in _NARROW])
 
 
@@ -595,3 +595,148 @@ def softmax_pair(spark: SparkSession, sf: str) -> DataFrame:
         F.array(F.get("embedding", F.lit(0)).cast("double") * 50, F.get("embedding", F.lit(1)).cast("double") * 50).alias("logits"),
     )
     return pair.select("vec_id", F.round(arrays.softmax(F.col("logits")).getItem(1), 6).alias("probability"))
+
+
+# --------------------------------------------------------------------- models
+# Full-size presets run for hundreds of rounds; the registered queries shorten
+# them and keep everything else, over all rows.
+ROUNDS = 10
+FOREST_TREES = 20
+
+
+def _model_table(spark: SparkSession, sf: str, names: Sequence[str]) -> DataFrame:
+    """Features of every document with its label, computed once and stored."""
+    docs = D.spread(D.table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.expr(D.CODE_SQL).alias("code"))
+    return materialize(D.with_labels(Q.add_features(docs, names), spark, sf), "model")
+
+
+def _splits(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Train and validation parts of the labelled rows; the unlabelled rows are the test set."""
+    known = materialize(sampling.folds(df.where("label is not null"), k=5), "split")
+    return known.where("fold > 0").drop("fold"), known.where("fold = 0").drop("fold"), df.where("label is null")
+
+
+def _boosted_query(preset: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = _model_table(spark, sf, Q.BASE9)
+        train, val, _ = _splits(df)
+        params = trees.BOOST_PRESETS[preset].scaled(ROUNDS)
+        scorer = trees.fit_boosted(train, val, Q.BASE9, params)
+        return scorer(df, "score").select("id", "label", "score")
+
+    return run
+
+
+QUERIES["gbt_depth3"] = _boosted_query("depth3")
+QUERIES["gbt_depth5"] = _boosted_query("depth5_wait100")
+QUERIES["gbt_depth6"] = _boosted_query("depth6_wait100")
+
+
+@query("gbt_rounds")
+def gbt_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Macro scores on the validation rows after each boosting round."""
+    train, val, _ = _splits(_model_table(spark, sf, Q.BASE9))
+    params = trees.BOOST_PRESETS["depth3"].scaled(ROUNDS)
+    return trees.boosted_model(train, Q.BASE9, params).by_round(val)
+
+
+@query("rf_extratrees")
+def rf_extratrees(spark: SparkSession, sf: str) -> DataFrame:
+    df = _model_table(spark, sf, Q.BASE9)
+    train, _, _ = _splits(df)
+    return trees.fit_forest(train, Q.BASE9, trees=FOREST_TREES)(df, "score").select("id", "label", "score")
+
+
+@query("logreg_balanced")
+def logreg_balanced(spark: SparkSession, sf: str) -> DataFrame:
+    df = _model_table(spark, sf, Q.BASE9)
+    train, _, _ = _splits(df)
+    return fit_logistic(train, Q.BASE9)(df, "score").select("id", "label", "score")
+
+
+@query("model_comparison")
+def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Best validation threshold of five models fitted on the same features."""
+    train, val, _ = _splits(_model_table(spark, sf, Q.BASE9))
+    fitted = boosting.compare(train, val, Q.BASE9, rounds=ROUNDS, forest_trees=FOREST_TREES)
+    return fitted.best_thresholds(materialize(fitted.score(val), "compared"))
+
+
+@query("cv_oof")
+def cv_oof(spark: SparkSession, sf: str) -> DataFrame:
+    """Rebalanced training, 5 folds: out-of-fold scores and averaged test scores."""
+    df = _model_table(spark, sf, Q.STYLE19)
+    train, val, test = _splits(df)
+    params = trees.BOOST_PRESETS["depth5"].scaled(ROUNDS)
+    balanced = materialize(rebalanced.rebalance(train, n=400), "balanced")
+    fitted = rebalanced.fit(balanced, val, [test], Q.STYLE19, params)
+    parts = [("train", fitted.oof), ("validation", fitted.scored[0]), ("test", fitted.scored[1])]
+    out = [p.select(F.lit(n).alias("part"), "id", "label", "score") for n, p in parts]
+    rows = out[0].unionByName(out[1]).unionByName(out[2])
+    return rows.withColumn("pred", (F.col("score") > F.lit(fitted.threshold)).cast("int"))
+
+
+@query("stack_views")
+def stack_views(spark: SparkSession, sf: str) -> DataFrame:
+    names = [c for v in Q.VIEWS.values() for c in v]
+    df = _model_table(spark, sf, names)
+    params = trees.BOOST_PRESETS["stacking"].scaled(ROUNDS)
+    _, test = ensembles.stack_views(
+        df.where("label is not null"), df.where("label is null"), Q.VIEWS,
+        lambda a, _, cols: trees.fit_boosted(a, None, cols, params),
+    )
+    return test.select("id", "score_structure", "score_indent_style", "probability")
+
+
+@query("late_fusion")
+def late_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Style features, a boosted score and a given model score, fused on the validation rows."""
+    df = _model_table(spark, sf, Q.STYLE19)
+    given = D.corpus(spark, sf).select("id", ((F.col("n_chars") % 1000) / F.lit(1000.0)).alias("text_score"))
+    train, val, _ = _splits(df.join(given, "id"))
+    boosted = trees.fit_boosted(train, None, Q.STYLE19, trees.BOOST_PRESETS["depth5"].scaled(ROUNDS))
+    fit_on = materialize(boosted(val, "tree_score"), "fusion")
+    apply_to = boosted(df.join(given, "id"), "tree_score")
+    fused = ensembles.fuse(fit_on, apply_to, Q.STYLE19, ["tree_score", "text_score"])
+    return fused.select("id", "label", "tree_score", "text_score", "fused")
+
+
+@query("ablation")
+def ablation(spark: SparkSession, sf: str) -> DataFrame:
+    train, val, _ = _splits(_model_table(spark, sf, Q.BASE9))
+    return ensembles.ablation(train, val, Q.BASE9, lambda a, _, cols: fit_logistic(a, cols))
+
+
+@query("random_search")
+def random_search(spark: SparkSession, sf: str) -> DataFrame:
+    train, val, _ = _splits(_model_table(spark, sf, Q.BASE9))
+    return ensembles.random_search(train, val, Q.BASE9, trees.BoostParams(rounds=5, wait=None), draws=3)
+
+
+_FOREST_TREES = 100
+
+
+@query("iforest_pair")
+def iforest_pair(spark: SparkSession, sf: str) -> DataFrame:
+    df = _model_table(spark, sf, Q.SET36)
+    model = anomaly.fit(df, Q.SET36, trees=_FOREST_TREES)
+    return model.pair(df).select("id", "label", "human_anomaly", "machine_anomaly")
+
+
+@query("anomaly_classifier")
+def anomaly_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Two forests, discriminant on top, a tenth of the unlabelled rows labelled positive."""
+    df = _model_table(spark, sf, Q.SET36)
+    model = anomaly.fit(df, Q.SET36, trees=_FOREST_TREES)
+    test = df.where("label is null").drop("label")
+    return model.label_top(test, max(1, test.count() // 10)).select("id", "probability", "label")
+
+
+@query("anomaly_validation")
+def anomaly_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """acc, macro scores and AUC of the anomaly classifier at the fixed 0.9 cut."""
+    train, val, _ = _splits(_model_table(spark, sf, Q.SET36))
+    model = anomaly.fit(train, Q.SET36, trees=_FOREST_TREES)
+    scored = materialize(model.probability(val), "validation")
+    return metrics.metric_table(selection.at(scored, "probability", 0.9, "pred"), score="probability")
