@@ -22,6 +22,10 @@ NODE_SCHEMA = (
 )
 
 
+# Upper bound of the broadcast node table (about 40 bytes a node).
+MAX_NODES = 5_000_000
+
+
 def _mean_path(n: float) -> float:
     """Average path length of an unsuccessful search among ``n`` points."""
     if n <= 1:
@@ -118,6 +122,8 @@ def score(df: DataFrame, forest: DataFrame, columns: Sequence[str], psi: dict[in
     """
     columns = list(columns)
     packed: dict[int, list] = {}
+    if forest.count() > MAX_NODES:
+        raise ValueError(f"a forest of more than {MAX_NODES} nodes is not broadcast; lower trees or psi")
     nodes = forest.toPandas().sort_values(["class", "tree", "node"])
     for (k, _), t in nodes.groupby(["class", "tree"], sort=True):
         packed.setdefault(int(k), []).append(tuple(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.operators import ordering as O
+from quillmark.sources.session import materialize
 
 
 def _safe(num: Column, den: Column) -> Column:
@@ -98,7 +99,7 @@ def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
         .groupBy(F.col(score).alias("s"))
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     )
-    placed = O.running_totals(counts, [], "s", ["neg"])
+    placed = O.running_totals(materialize(counts, "scores"), [], "s", ["neg"])
     wins = F.col("pos") * (F.col("cum_neg") - F.col("neg") * 0.5)
     sums = placed.agg(F.sum(wins).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return sums.select(

@@ -7,16 +7,19 @@ inside a range, and adds the size of all earlier ranges.  Results are exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.sources.session import bounded
+from quillmark.sources.session import bounded, materialize
 
 # Largest table that is pulled to the driver and broadcast (rows).
 SMALL = 200_000
+# Rows that one task may rank in one window.
+RANGE_ROWS = 2_000_000
 
 
 def hash_key(key: str, seed: int) -> Column:
@@ -24,11 +27,6 @@ def hash_key(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    conditions = [left[c].eqNullSafe(right[c]) for c in columns]
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
-
-
 def attach(df: DataFrame, table: DataFrame, on: Sequence[str], values: Sequence[str], how: str = "left") -> DataFrame:
     """Null-safe equi-join that keeps ``df``'s columns and adds ``values``."""
     renamed = table.select(*[F.col(c).alias(f"_r_{c}") for c in on], *values)
@@ -36,19 +34,36 @@ def attach(df: DataFrame, table: DataFrame, on: Sequence[str], values: Sequence[
     return df.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
 
 
+def _ranged(df: DataFrame, by: Sequence[str], key: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` with hash ``_h`` and range ``_b``, and the size ``_n`` of every range.
+
+    The leading hex digits of the hash cut each group into 4096 even ranges, so
+    a hot group spreads over the cluster.  When a range would still be too long
+    for one task, more digits are used.
+    """
+    marked = df.withColumn("_h", hash_key(key, seed))
+    digits = 3
+    while True:
+        ranged = marked.withColumn("_b", F.substring("_h", 1, digits))
+        sizes, _ = bounded(ranged.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")), SMALL)
+        largest = sizes.agg(F.max("_n")).first()[0] or 0
+        if largest <= RANGE_ROWS or digits >= 8:
+            return ranged, sizes
+        digits += math.ceil(math.log(largest / RANGE_ROWS, 16))
+
+
 def hash_rank(df: DataFrame, by: Sequence[str], key: str, seed: int = 42, out: str = "rank") -> DataFrame:
     """Exact 1-based rank of every row inside its group, in hash order.
 
-    The leading hex digits of the hash cut each group into 4096 even ranges, so
-    a hot group spreads over the cluster; the rows are shuffled once.
+    One pass sizes the hash ranges, a second ranks inside them; the rows are
+    shuffled once, by group and range.
     """
-    marked = df.withColumn("_h", hash_key(key, seed)).withColumn("_b", F.substring("_h", 1, 3))
-    sizes = marked.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    ranged, sizes = _ranged(df, by, key, seed)
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     offsets, _ = bounded(offsets.select(*by, "_b", "_off"), SMALL)
     local = Window.partitionBy(*by, "_b").orderBy("_h", key)
-    ranked = marked.withColumn("_local", F.row_number().over(local))
+    ranked = ranged.withColumn("_local", F.row_number().over(local))
     placed = attach(ranked, offsets, [*by, "_b"], ["_off"])
     return placed.withColumn(out, F.col("_off") + F.col("_local")).drop("_h", "_b", "_off", "_local")
 
@@ -58,32 +73,36 @@ def take_lowest(df: DataFrame, by: Sequence[str], key: str, quota: int | DataFra
 
     ``quota`` is one number, or a table of the group columns plus ``quota``.
     Range sizes tell in which range each group reaches its quota.  Rows of later
-    ranges are dropped by a map-side filter; only the survivors are shuffled.
+    ranges are dropped by a map-side filter, rows of earlier ranges pass through,
+    and only the one range that is cut inside is shuffled and ranked.
     """
-    marked = df.withColumn("_h", hash_key(key, seed)).withColumn("_b", F.substring("_h", 1, 3))
-    sizes = marked.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    marked, sizes = _ranged(df, by, key, seed)
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     sizes = sizes.withColumn("_upto", F.sum("_n").over(upto))
     if isinstance(quota, int):
         sizes = sizes.withColumn("_quota", F.lit(quota).cast("bigint"))
     else:
         sizes = attach(sizes, quota.withColumnRenamed("quota", "_quota"), by, ["_quota"], "inner")
-    reached = F.col("_upto") >= F.col("_quota")
-    cuts = sizes.groupBy(*by).agg(
-        F.min(F.when(reached, F.col("_b"))).alias("_cut"),
-        F.min(F.when(reached, F.col("_upto") - F.col("_n"))).alias("_before"),
-        F.max("_quota").alias("_quota"),
-    )
-    cuts, _ = bounded(cuts, SMALL)
-    near = attach(marked, cuts, by, ["_cut", "_before", "_quota"], "inner").where(
-        F.col("_cut").isNull() | (F.col("_b") <= F.col("_cut"))
-    )
-    whole = near.where(F.col("_cut").isNull() | (F.col("_b") < F.col("_cut")))
-    edge = near.where(F.col("_b") == F.col("_cut"))
+    # A range is kept whole while the group's running size stays within its
+    # quota; the first range that passes the quota is cut inside.
+    room = F.col("_quota") - (F.col("_upto") - F.col("_n"))
+    taken = sizes.where(room > 0).withColumn("_room", F.least(room, F.col("_n")))
+    edges = taken.groupBy(*by).agg(F.max("_b").alias("_last"), F.max_by("_room", "_b").alias("_room"))
+    edges, small = bounded(edges, SMALL)
+    if small:
+        near = attach(marked, edges, by, ["_last", "_room"], "inner").where(F.col("_b") <= F.col("_last"))
+    else:
+        # Too many groups to broadcast: join per range, so that a hot group is
+        # spread over its ranges instead of landing in one task.
+        last = F.max("_b").over(Window.partitionBy(*by))
+        ranges = taken.withColumn("_last", last).select(*by, "_b", "_last", "_room")
+        near = attach(marked, ranges, [*by, "_b"], ["_last", "_room"], "inner")
+    whole = near.where(F.col("_b") < F.col("_last"))
     local = Window.partitionBy(*by).orderBy("_h", key)
     edge = (
-        edge.withColumn("_local", F.row_number().over(local))
-        .where(F.col("_before") + F.col("_local") <= F.col("_quota"))
+        near.where(F.col("_b") == F.col("_last"))
+        .withColumn("_local", F.row_number().over(local))
+        .where(F.col("_local") <= F.col("_room"))
     )
     return whole.select(*df.columns).unionByName(edge.select(*df.columns))
 
@@ -168,7 +187,8 @@ def quantile_grid(df: DataFrame, columns: Sequence[str], n: int = 1000) -> DataF
     """``n`` evenly spaced quantiles per column, linear interpolation, exact.
 
     Returns ``feature, k, value`` with ``k`` from 0 to ``n - 1``; nulls and NaNs
-    are left out.  All columns share one aggregation over (feature, value).
+    are left out.  All columns share one aggregation over (feature, value), which
+    is stored because the steps below read it more than once.
     """
     pairs = F.explode(
         F.array(*[
@@ -183,8 +203,9 @@ def quantile_grid(df: DataFrame, columns: Sequence[str], n: int = 1000) -> DataF
         .groupBy("feature", "value")
         .agg(F.count(F.lit(1)).alias("c"))
     )
+    counts = materialize(counts, "values")
     placed = running_totals(counts, ["feature"], "value", ["c"])
-    totals = counts.groupBy("feature").agg(F.sum("c").alias("total"))
+    totals, _ = bounded(counts.groupBy("feature").agg(F.sum("c").alias("total")), SMALL)
     placed = attach(placed, totals, ["feature"], ["total"])
     # Order positions [cum - c, cum) hold this value.  Grid point k sits at
     # (total - 1) * k / (n - 1) and needs the values at its floor and ceiling.

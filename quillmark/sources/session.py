@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +42,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give heavy per-row work at least one partition per core.
 
     A table with enough splits is returned untouched, so large inputs are never
-    shuffled; a handful of small files is hash-partitioned by its key.
+    shuffled; a handful of small files is hash-partitioned by its key.  Meant
+    for a freshly read table: asking a plan with shuffles for its partitions
+    would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
@@ -50,12 +53,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def bounded(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
-    """Turn a table of at most ``limit`` rows into a local relation.
+    """Turn a table of at most ``limit`` rows into a broadcast-ready local one.
 
-    Spark then knows its true size and broadcasts it on its own.  A larger
-    table comes back as it was and is joined by shuffle.
+    The size is checked by reading at most ``limit + 1`` rows.  A larger table
+    comes back as it was, without a hint, and is joined by shuffle.
     """
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         return df, False
-    return df.sparkSession.createDataFrame(rows, schema=df.schema), True
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema)), True
