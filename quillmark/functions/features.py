@@ -29,8 +29,7 @@ COMMENT_PREFIXES = ["//", "#", "/*", "*"]
 OPERATOR_CLASS = r"[+\-*/%=<>!&|^~]"
 CODE_COMMENT_WORDS = "def class for while if elif return import from".split()
 CODE_COMMENT_SIGNS = r"[={}()\[\];]"
-CODE_COMMENT_PATTERN = f"{CODE_COMMENT_SIGNS}|else:|(?:{'|'.join(CODE_COMMENT_WORDS)}){X.WS}"
-BLOCK_COMMENT_PATTERN = "(?s)/\\*.*?\\*/|\"\"\".*?\"\"\"|'''.*?'''"
+BLOCK_COMMENTS = "/\\*.*?\\*/|\"\"\".*?\"\"\"|'''.*?'''"
 COMMENT_OPENERS = "//|#|/\\*|\"\"\"|'''"
 LOGIC_OPERATORS = r"&&|\|\||==|!=|>=|<="
 TYPE_HINTS = rf":{X.WS}*+{X.WORD}++|<{X.WORD}++>|->{X.WS}*+{X.WORD}++"
@@ -77,6 +76,25 @@ INACTIVE_VIEWS = {
     "vocab_syntax": ["keyword_ratio", "comment_ratio", "unique_tokens", "single_char_ratio"],
 }
 
+
+
+def _starting(chars: str, alternatives: str) -> str:
+    """The same alternatives behind a look-ahead for their first characters.
+
+    Most positions are then rejected by one class test instead of one attempt
+    per alternative.
+    """
+    return f"(?=[{chars}])(?:{alternatives})"
+
+
+_CODE_COMMENT = (
+    f"{CODE_COMMENT_SIGNS}|"
+    + _starting("cdefirw", f"else:|(?:{'|'.join(CODE_COMMENT_WORDS)}){X.WS}")
+)
+# Signs that any feature counts one by one, kept in order; everything else is
+# cut away first so that the single counts run over a short string.
+_SIGNS = r"\t(){}\[\];:+\-*/%=<>!&|^~"
+
 Builder = Callable[..., Column]
 BASES: dict[str, tuple[list[str], Builder]] = {}
 FEATURES: dict[str, tuple[list[str], Builder]] = {}
@@ -323,20 +341,25 @@ def _chars(code):
     return F.length(code).cast("double")
 
 
-@_base("operators", "code")
-def _operators(code):
-    return X.n_in_class(code, r"[^+\-*/%=<>!&|^~]+")
+@_base("signs", "code")
+def _signs(code):
+    return F.regexp_replace(code, f"[^{_SIGNS}]+", "")
+
+
+@_base("operators", "signs")
+def _operators(signs):
+    return X.n_in_class(signs, r"[\t(){}\[\];:]+")
 
 
 @_base("line_comments", "code")
 def _line_comments(code):
     # (?d): only a newline ends the comment, not \r or the Unicode separators
-    return F.regexp_extract_all(code, F.lit("(?d)(?://|#)(.*)"), F.lit(1))
+    return F.regexp_extract_all(code, F.lit("(?d)(?=[/#])(?://|#)(.*)"), F.lit(1))
 
 
 @_base("block_comments", "code")
 def _block_comments(code):
-    return F.regexp_extract_all(code, F.lit(BLOCK_COMMENT_PATTERN), F.lit(0))
+    return F.regexp_extract_all(code, F.lit("(?s)" + _starting("/\"'", BLOCK_COMMENTS)), F.lit(0))
 
 
 @_base("comment_bodies", "line_comments", "block_comments")
@@ -351,7 +374,7 @@ def _comment_bodies(line_comments, block_comments):
 
 @_base("prose_comments", "comment_bodies")
 def _prose_comments(bodies):
-    return _size(F.filter(bodies, lambda c: ~c.rlike(CODE_COMMENT_PATTERN)))
+    return _size(F.filter(bodies, lambda c: ~c.rlike(_CODE_COMMENT)))
 
 
 @_base("tab_indents", "lines", "bodies")
@@ -396,9 +419,9 @@ def _blank_count(flags: Column) -> Column:
     return X.n_char(flags, "1")
 
 
-def _imbalance(code: Column) -> Column:
+def _imbalance(signs: Column) -> Column:
     pairs = [("(", ")"), ("{", "}"), ("[", "]")]
-    parts = [F.abs(X.n_char(code, o) - X.n_char(code, c)) for o, c in pairs]
+    parts = [F.abs(X.n_char(signs, o) - X.n_char(signs, c)) for o, c in pairs]
     return parts[0] + parts[1] + parts[2]
 
 
@@ -423,12 +446,12 @@ _feature("std_indent", _INDENT_SUMS, A.std_of)
 _feature("max_indent", ["indents"], _max0)
 _feature("max_nesting_depth", ["indents"], lambda a: F.floor(_max0(a) / 4).cast("double"))
 _feature("space_ratio", ["code", "chars"], lambda c, n: X.n_char(c, " ") / F.greatest(n, F.lit(1.0)))
-_feature("tab_ratio", ["code", "chars"], lambda c, n: X.n_char(c, "\t") / F.greatest(n, F.lit(1.0)))
-_feature("n_open_paren", ["code"], lambda c: X.n_char(c, "("))
-_feature("n_close_paren", ["code"], lambda c: X.n_char(c, ")"))
-_feature("n_open_brace", ["code"], lambda c: X.n_char(c, "{"))
-_feature("n_close_brace", ["code"], lambda c: X.n_char(c, "}"))
-_feature("total_bracket_imbalance", ["code"], _imbalance)
+_feature("tab_ratio", ["signs", "chars"], lambda c, n: X.n_char(c, "\t") / F.greatest(n, F.lit(1.0)))
+_feature("n_open_paren", ["signs"], lambda c: X.n_char(c, "("))
+_feature("n_close_paren", ["signs"], lambda c: X.n_char(c, ")"))
+_feature("n_open_brace", ["signs"], lambda c: X.n_char(c, "{"))
+_feature("n_close_brace", ["signs"], lambda c: X.n_char(c, "}"))
+_feature("total_bracket_imbalance", ["signs"], _imbalance)
 _feature("n_tokens", ["token_n"], lambda n: F.greatest(n, F.lit(1.0)))
 _feature("unique_tokens", ["distinct_n"], lambda n: n)
 _feature("token_unique_ratio", ["distinct_n", "token_n"], A.ratio)
@@ -452,8 +475,8 @@ _feature("max_consec_empty", ["blank_flags"], lambda f: _max0(F.transform(
 _feature("empty_gap_mean", ["gap_n", "gap_sum"], A.mean_of)
 _feature("empty_gap_std", _GAP_SUMS, A.std_of)
 _feature("entropy", ["char_counts", "chars"], A.entropy)
-_feature("n_semicolons", ["code", "n"], lambda c, n: X.n_char(c, ";") / n)
-_feature("n_colons", ["code", "n"], lambda c, n: X.n_char(c, ":") / n)
+_feature("n_semicolons", ["signs", "n"], lambda c, n: X.n_char(c, ";") / n)
+_feature("n_colons", ["signs", "n"], lambda c, n: X.n_char(c, ":") / n)
 _feature("code_len", ["chars"], lambda n: n)
 _feature("operator_spacing_ratio", ["code", "operators"],
          lambda c, n: X.n_matches(c, f"{X.WS}{OPERATOR_CLASS}{X.WS}") / (n + 1))
@@ -467,7 +490,7 @@ _feature("most_common_delta_ratio", ["step_counts", "n"], lambda a, n: A.ratio(_
 _feature("exact_indent_ratio", ["margins", "n"],
          lambda a, n: _size(F.filter(a, lambda x: x % 4 == 0)) / n)
 _feature("lag1_autocorr", ["lens", "n", "len_sum", "len_sq", "lag_product"], _self_correlation)
-_feature("type_hint_density", ["code", "n"], lambda c, n: X.n_matches(c, TYPE_HINTS) / n)
+_feature("type_hint_density", ["code", "n"], lambda c, n: X.n_matches(c, _starting(":<\\-", TYPE_HINTS)) / n)
 
 # ------------------------------------------------------------ comment heuristics
 _feature("n_single_comments", ["line_comments"], _size)
@@ -492,13 +515,13 @@ _feature("snake_case_density", ["code", "chars"],
          lambda c, n: X.n_matches(c, "(?<![a-z])[a-z]++_[a-z]++") / (n + 1))
 _feature("alphanumeric_ratio", ["code", "chars"],
          lambda c, n: X.n_in_class(c, r"[^\p{L}\p{N}]+") / (n + 1))
-_feature("operator_density", ["code", "chars"],
+_feature("operator_density", ["signs", "chars"],
          lambda c, n: X.n_in_class(c, r"[^+\-*/%=><]+") / (n + 1))
-_feature("logic_density", ["code", "chars"], lambda c, n: X.n_matches(c, LOGIC_OPERATORS) / (n + 1))
-_feature("comment_density", ["code", "n"], lambda c, n: X.n_matches(c, COMMENT_OPENERS) / (n + 1))
-_feature("brace_balance", ["code"], lambda c: F.abs(X.n_char(c, "{") - X.n_char(c, "}")))
-_feature("paren_balance", ["code"], lambda c: F.abs(X.n_char(c, "(") - X.n_char(c, ")")))
-_feature("bracket_balance", ["code"], lambda c: F.abs(X.n_char(c, "[") - X.n_char(c, "]")))
+_feature("logic_density", ["code", "chars"], lambda c, n: X.n_matches(c, _starting("&|=!<>", LOGIC_OPERATORS)) / (n + 1))
+_feature("comment_density", ["code", "n"], lambda c, n: X.n_matches(c, _starting("/#\"'", COMMENT_OPENERS)) / (n + 1))
+_feature("brace_balance", ["signs"], lambda c: F.abs(X.n_char(c, "{") - X.n_char(c, "}")))
+_feature("paren_balance", ["signs"], lambda c: F.abs(X.n_char(c, "(") - X.n_char(c, ")")))
+_feature("bracket_balance", ["signs"], lambda c: F.abs(X.n_char(c, "[") - X.n_char(c, "]")))
 _feature("char_entropy", ["char_counts", "chars"], A.entropy)
 _feature("token_entropy", ["cased_counts", "sorted_cased"], lambda a, t: A.entropy(a, _size(t)))
 
