@@ -144,3 +144,8 @@ def softmax(logits: Column) -> Column:
         F.array_repeat(denominator, n),
         lambda x, d: F.exp(x - d["top"]) / d["s"],
     )
+
+
+def argmax(a: Column) -> Column:
+    """0-based position of the largest element; the first one wins ties."""
+    return (F.array_position(a, F.array_max(a)) - 1).cast("int")

@@ -194,7 +194,9 @@ def _blank_flags(bodies):
 
 @_base("gaps", "blank_flags")
 def _gaps(flags):
-    runs = F.regexp_extract_all(flags, F.lit("(1+)0"), F.lit(1))
+    # a run that reaches the end of the text is not a gap; the look-behind and
+    # the possessive quantifier keep the scan linear on such a run
+    runs = F.regexp_extract_all(flags, F.lit("(?<!1)(1++)0"), F.lit(1))
     return F.transform(runs, lambda r: F.length(r).cast("double"))
 
 

@@ -8,14 +8,15 @@ and is broadcast for scoring in Arrow batches.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.operators import ordering as O
+from quillmark.sources.session import bounded, materialize
 
 NODE_SCHEMA = (
     "class int, tree int, node int, feature int, split double, left int, right int, depth_score double"
@@ -24,6 +25,8 @@ NODE_SCHEMA = (
 
 # Upper bound of the broadcast node table (about 40 bytes a node).
 MAX_NODES = 5_000_000
+# Upper bound of the broadcast (key, class, tree) assignment.
+MAX_SAMPLE_ROWS = 1_000_000
 
 
 def _mean_path(n: float) -> float:
@@ -57,38 +60,40 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 
 
 def tree_samples(df: DataFrame, label: str, key: str, trees: int, psi: int, seed: int) -> DataFrame:
-    """Rows of every (class, tree) sample, without replacement inside a tree.
+    """Which rows each (class, tree) sample holds, without replacement inside a tree.
 
     A round is a seeded permutation of a class cut into samples of ``psi``; as
     many rounds are used as the trees need.  A large class needs one round and
     only its lowest hashes are touched, a small one is re-dealt in each round,
-    so about ``trees x psi`` rows are shuffled in either case.
+    so about ``trees x psi`` keys per class are shuffled in either case.  The
+    features stay where they are: the result is ``key, class, tree, psi``.
     """
-    labelled = df.where(F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
-    near = O.take_lowest(labelled, [label], key, trees * psi, seed)
-    parts = []
-    for k, n in sorted(counts.items()):
-        sample = min(psi, n)
-        per_round = min(trees, max(1, n // sample))
-        rounds = math.ceil(trees / per_round)
-        dealt = (
-            near.where(F.col(label) == k)
-            .withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-            .withColumn("_deal", F.concat_ws("|", F.col(key).cast("string"), F.col("_round").cast("string")))
-        )
-        ranked = O.hash_rank(dealt, ["_round"], "_deal", seed, "_rank")
-        parts.append(
-            ranked.where(F.col("_rank") <= per_round * sample)
-            .withColumn("tree", (F.col("_round") * per_round + F.floor((F.col("_rank") - 1) / sample)).cast("int"))
-            .where(F.col("tree") < trees)
-            .withColumns({"class": F.lit(int(k)), "psi": F.lit(sample)})
-            .drop("_round", "_deal", "_rank")
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    known = df.where(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("class"))
+    counts = {r["class"]: r["count"] for r in known.groupBy("class").count().collect()}
+
+    def per_class(value: Callable[[int], int]) -> Column:
+        out = F.lit(0)
+        for k, n in counts.items():
+            out = F.when(F.col("class") == k, F.lit(value(n))).otherwise(out)
+        return out
+
+    def per_round(n: int) -> int:
+        return min(trees, max(1, n // min(psi, n)))
+
+    near = materialize(O.take_lowest(known, ["class"], key, trees * psi, seed), "near")
+    dealt = near.withColumns({
+        "psi": per_class(lambda n: min(psi, n)),
+        "_cuts": per_class(per_round),
+        "_round": F.explode(F.sequence(F.lit(0), per_class(lambda n: math.ceil(trees / per_round(n)) - 1))),
+    }).withColumn("_deal", F.concat_ws("|", F.col(key).cast("string"), F.col("_round").cast("string")))
+    ranked = O.hash_rank(dealt, ["class", "_round"], "_deal", seed, "_rank")
+    cut = F.floor((F.col("_rank") - 1) / F.col("psi"))
+    return (
+        ranked.where(cut < F.col("_cuts"))
+        .withColumn("tree", (F.col("_round") * F.col("_cuts") + cut).cast("int"))
+        .where(F.col("tree") < trees)
+        .select(key, "class", "tree", "psi")
+    )
 
 
 def fit(
@@ -110,8 +115,11 @@ def fit(
         out.insert(0, "class", k)
         return out
 
-    samples = tree_samples(df.select(key, label, *columns), label, key, trees, psi, seed)
-    return samples.groupBy("class", "tree").applyInPandas(build, NODE_SCHEMA)
+    # The assignment is a few thousand keys per tree, so the table of features
+    # is filtered map-side and only sampled rows reach the tree builders.
+    samples, _ = bounded(tree_samples(df, label, key, trees, psi, seed), MAX_SAMPLE_ROWS)
+    rows = df.select(key, *columns).join(samples, key)
+    return rows.groupBy("class", "tree").applyInPandas(build, NODE_SCHEMA)
 
 
 def score(df: DataFrame, forest: DataFrame, columns: Sequence[str], psi: dict[int, int], names: dict[int, str]) -> DataFrame:

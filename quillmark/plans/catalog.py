@@ -587,14 +587,18 @@ def head_tail_tokens(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("softmax_pair", """select vec_id, round(exp(b - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) as probability
+@query("softmax_pair", """select vec_id, round(exp(b - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) as probability, (b > a)::int as pred
   from (select vec_id, embedding[1]::double * 50 as a, embedding[2]::double * 50 as b from embeddings)""")
 def softmax_pair(spark: SparkSession, sf: str) -> DataFrame:
     pair = D.table(spark, sf, "embeddings").select(
         "vec_id",
         F.array(F.get("embedding", F.lit(0)).cast("double") * 50, F.get("embedding", F.lit(1)).cast("double") * 50).alias("logits"),
     )
-    return pair.select("vec_id", F.round(arrays.softmax(F.col("logits")).getItem(1), 6).alias("probability"))
+    return pair.select(
+        "vec_id",
+        F.round(arrays.softmax(F.col("logits")).getItem(1), 6).alias("probability"),
+        arrays.argmax(F.col("logits")).alias("pred"),
+    )
 
 
 # --------------------------------------------------------------------- models

@@ -58,7 +58,7 @@ def bounded(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
     The size is checked by reading at most ``limit + 1`` rows.  A larger table
     comes back as it was, without a hint, and is joined by shuffle.
     """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
         return df, False
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema)), True

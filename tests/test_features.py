@@ -104,3 +104,18 @@ def test_properties(spark, texts):
         assert r["n_lines"] == code.count("\n") + 1
         lead = [len(x) - len(x.lstrip()) for x in code.split("\n") if x.strip()]
         assert r["max_indent"] == max(lead, default=0)
+
+
+def test_long_documents_stay_linear(spark):
+    import time
+
+    texts = ["x" + "\n" * 200_000, "a" * 300_000, " " * 300_000 + "x", "ab " * 100_000, "/" * 200_000, '"' * 200_001]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, code string")
+    start = time.time()
+    rows = {r["id"]: r for r in Q.add_features(df, Q.FEATURES).collect()}
+    assert time.time() - start < 90
+    assert rows[0]["max_consec_empty"] == 200_000 and rows[0]["empty_gap_mean"] == 0
+    assert rows[1]["n_tokens"] == 1 and rows[1]["entropy"] == 0
+    assert rows[2]["max_indent"] == 300_000
+    assert rows[3]["bigram_repetition_ratio"] == 1 and rows[3]["token_entropy"] == 0
+    assert rows[4]["n_single_comments"] == 1

@@ -153,3 +153,5 @@ def test_head_tail_and_softmax(spark):
     for r in df.select("x", arrays.softmax(F.col("x")).alias("p")).collect():
         e = np.exp(np.array(r["x"]) - max(r["x"]))
         assert r["p"] == pytest.approx(list(e / e.sum()))
+    picks = [r["i"] for r in df.select(arrays.argmax(F.col("x")).alias("i")).collect()]
+    assert picks == [int(np.argmax(x)) for x in logits]
