@@ -34,8 +34,8 @@ def attach(df: DataFrame, table: DataFrame, on: Sequence[str], values: Sequence[
     return df.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
 
 
-def _ranged(df: DataFrame, by: Sequence[str], key: str, seed: int) -> tuple[DataFrame, DataFrame]:
-    """``df`` with hash ``_h`` and range ``_b``, and the size ``_n`` of every range.
+def _ranged(df: DataFrame, by: Sequence[str], key: str, seed: int) -> tuple[DataFrame, DataFrame, bool]:
+    """``df`` with hash ``_h`` and range ``_b``; the size ``_n`` of every range; if those are few.
 
     The leading hex digits of the hash cut each group into 4096 even ranges, so
     a hot group spreads over the cluster.  When a range would still be too long
@@ -45,11 +45,11 @@ def _ranged(df: DataFrame, by: Sequence[str], key: str, seed: int) -> tuple[Data
     digits = 3
     while True:
         ranged = marked.withColumn("_b", F.substring("_h", 1, digits))
-        sizes, _ = bounded(ranged.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")), SMALL)
-        largest = sizes.agg(F.max("_n")).first()[0] or 0
-        if largest <= RANGE_ROWS or digits >= 8:
-            return ranged, sizes
-        digits += math.ceil(math.log(largest / RANGE_ROWS, 16))
+        sizes, small = bounded(ranged.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")), SMALL)
+        longest = sizes.agg(F.max("_n")).first()[0] or 0
+        if longest <= RANGE_ROWS or digits >= 8:
+            return ranged, sizes, small
+        digits += math.ceil(math.log(longest / RANGE_ROWS, 16))
 
 
 def hash_rank(df: DataFrame, by: Sequence[str], key: str, seed: int = 42, out: str = "rank") -> DataFrame:
@@ -58,10 +58,11 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: str, seed: int = 42, out: s
     One pass sizes the hash ranges, a second ranks inside them; the rows are
     shuffled once, by group and range.
     """
-    ranged, sizes = _ranged(df, by, key, seed)
+    ranged, sizes, small = _ranged(df, by, key, seed)
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    offsets, _ = bounded(offsets.select(*by, "_b", "_off"), SMALL)
+    # one offset per range: as few rows as the sizes that were just checked
+    offsets = F.broadcast(offsets) if small else offsets
     local = Window.partitionBy(*by, "_b").orderBy("_h", key)
     ranked = ranged.withColumn("_local", F.row_number().over(local))
     placed = attach(ranked, offsets, [*by, "_b"], ["_off"])
@@ -76,7 +77,7 @@ def take_lowest(df: DataFrame, by: Sequence[str], key: str, quota: int | DataFra
     ranges are dropped by a map-side filter, rows of earlier ranges pass through,
     and only the one range that is cut inside is shuffled and ranked.
     """
-    marked, sizes = _ranged(df, by, key, seed)
+    marked, sizes, _ = _ranged(df, by, key, seed)
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     sizes = sizes.withColumn("_upto", F.sum("_n").over(upto))
     if isinstance(quota, int):

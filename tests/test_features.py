@@ -84,8 +84,8 @@ def _counts(items):
     return out
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text(alphabet="ab_é# /*\n\t;=('😀1²", max_size=40), min_size=20, max_size=20))
+@settings(max_examples=2, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="ab_é# /*\n\t;=('😀1²", max_size=40), min_size=60, max_size=60))
 def test_properties(spark, texts):
     import math
 

@@ -37,7 +37,7 @@ def test_hash_rank(skewed, monkeypatch, small):
 
 def test_long_ranges_are_cut_finer(skewed, monkeypatch):
     monkeypatch.setattr(O, "RANGE_ROWS", 2)
-    ranged, sizes = O._ranged(skewed, ["g"], "id", 42)
+    ranged, sizes, _ = O._ranged(skewed, ["g"], "id", 42)
     assert len(ranged.first()["_b"]) > 3 and sizes.agg(F.max("_n")).first()[0] <= 2
     expected = {i: n for ids in _groups(skewed).values() for n, i in enumerate(ids, 1)}
     assert {r["id"]: r["rank"] for r in O.hash_rank(skewed, ["g"], "id").collect()} == expected
