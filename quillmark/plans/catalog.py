@@ -411,7 +411,9 @@ def prediction_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ selection
-_NTH = oracles.BASE + ", cut as (select score as c from scored order by score desc limit 1 offset 99)"
+_NTH = oracles.BASE + """, cut as (select coalesce(
+    (select score from scored where (select count(*) from scored) > 100 order by score desc limit 1 offset 99),
+    (select min(score) - 1 from scored)) as c)"""
 
 
 @query("topn_threshold", _NTH + " select c as threshold from cut")
