@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace

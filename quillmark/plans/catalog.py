@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import arrays, text
 from quillmark.functions import features as Q
-from quillmark.operators import ensembles, iforest, metrics, ordering, profile, qda, quantile, sampling, scaling, selection, trees
+from quillmark.operators import ensembles, metrics, ordering, profile, qda, quantile, sampling, scaling, selection, trees
 from quillmark.operators.linear import fit_logistic
 from quillmark.plans import anomaly, boosting, oracles, rebalanced
 from quillmark.plans import tables as D
