@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +33,30 @@ def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the whole cluster shares."""
     return f"{shared_dir(spark).rstrip('/')}/quillmark/{name}-{uuid.uuid4().hex}"
 
 
+def key_runs(df: DataFrame, key: str, rows_per_run: int, most: int) -> Column:
+    """Number of the run that a row's integer key falls into: ascending runs of about ``rows_per_run`` rows.
+
+    Cut at approximate quantiles of the key alone, at most ``most`` runs (they
+    get longer beyond that); equal keys are in one run, a null key in the first.
+    """
+    runs = min(most, max(1, df.count() // rows_per_run))
+    shares = [i / runs for i in range(1, runs)]
+    cuts = sorted(set(df.agg(F.percentile_approx(key, shares, 20 * runs)).first()[0] or [])) if shares else []
+    if not cuts:
+        return F.lit(0)
+    return F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c < F.col(key))))
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Connected components of an edge list: one row (node, component) per node, component = smallest node.
 

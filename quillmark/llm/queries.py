@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, jaccard, lines, mixing, quality
+from quillmark.llm import bpe, jaccard, langid, lines, mixing, quality, simhash, tokenfile, topk
 from quillmark.llm.base import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,12 +39,34 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenfile.round_trip(docs, VOCABULARY).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edit_check(read(spark, sf_dir, "documents"))
+
+
+def top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit_text(read(spark, sf_dir, "documents"))
+    return langid.identify(read(spark, sf_dir, "pages"), model).withColumn("confidence", F.round("confidence", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup,
     "op2_quality_classifier": quality_classifier,
+    "op4_top_k_search": top_k_search,
     "op5_bpe": bpe_round_trip,
     "op6_source_mix": source_mix,
+    "op7_token_file": token_file,
+    "op8_fingerprints": document_fingerprints,
     "op9_jaccard_join": jaccard_join,
+    "op10_language_id": language_id,
 }
 
 ORACLES: dict[str, str] = {}
