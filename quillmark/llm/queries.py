@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, jaccard, langid, lines, mixing, quality, simhash, tokenfile, topk
+from quillmark.llm import bpe, jaccard, langid, lines, mixing, quality, simhash, suffixes, tokenfile, topk
 from quillmark.llm.base import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +48,11 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edit_check(read(spark, sf_dir, "documents"))
 
 
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -60,6 +65,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup,
     "op2_quality_classifier": quality_classifier,
+    "op3_suffix_array": repeated_strings,
     "op4_top_k_search": top_k_search,
     "op5_bpe": bpe_round_trip,
     "op6_source_mix": source_mix,
