@@ -16,7 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Largest lookup table that is ever broadcast, in rows of a few numbers each.
 BROADCAST_ROWS = 200_000
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of an Arrow batch that goes to a Python worker (one row at least).
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,11 +34,27 @@ def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def small_batches(df: DataFrame) -> None:
+    """Hand texts to Python in Arrow batches of BATCH_BYTES, so that long texts do not pile up in a worker.
+
+    A session setting: it moves memory, not results, and stays set because the
+    plan runs after the operator has returned.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the whole cluster shares."""
     return f"{shared_dir(spark).rstrip('/')}/quillmark/{name}-{uuid.uuid4().hex}"

@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.base import whole_text
+from quillmark.llm.base import small_batches, whole_text
 from quillmark.llm.pretoken import END_OF_TEXT, split
 
 #: Most frequent words that the lexicon holds; its size does not grow with the input.
 LEXICON_WORDS = 1 << 16
 #: Characters that a task encodes at once, and words it counts or remembers before it lets go of them.
 CHUNK_CHARS = 1_000_000
-COUNTED_WORDS = 400_000
-REMEMBERED_WORDS = 400_000
+COUNTED_WORDS = 200_000
+REMEMBERED_WORDS = 250_000
 #: Words longer than this use a heap instead of repeated scans.
 LONG_WORD = 48
 
@@ -320,6 +320,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", most: int
     vocabulary file and the lexicon, both of fixed size.  Same-named columns of
     the input are replaced; repeated rows give equal rows.
     """
+    small_batches(docs)
     with open(vocabulary_path, encoding="utf-8") as file:
         raw = file.read()
     words = [r["word"].encode() for r in frequent_words(docs, text, most).collect()]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.base import components, materialize, small, whole_text
+from quillmark.llm.base import components, free, materialize, small, small_batches, whole_text
 from quillmark.llm.shingles import mix, prefix_length, set_key, shingle_set, similar
 
 PERCENT = 80
@@ -22,7 +22,7 @@ COUNTED = 0.3
 #: Orders besides the first one that a candidate must pass before it is verified.
 MORE_ORDERS = (1, 2)
 #: Hashes that one task gathers before it passes them on, and about how many one reducing task gets.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Texts whose sets a task remembers while it verifies pairs that are sorted by the first document.
 REMEMBERED = 64
 
@@ -216,6 +216,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, key: str = "doc_
     but not the text count as two.  A null key is a key of its own; if it is the
     only one of its component, ``component_id`` is null.  Empty table: no rows.
     """
+    small_batches(docs)
     source = docs.select(F.col(key).alias("id"), whole_text(text).alias("text"))
     spark = docs.sparkSession
     # at most MOST_COMMON hashes, 8 MB, however large the input
@@ -271,7 +272,8 @@ def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of every component: the one of the smallest key (and of it, the smallest text)."""
-    own = jaccard_components(docs, percent, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key")).distinct()
-    kept = docs.join(own, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    return kept.dropDuplicates([key])
+    """``docs`` with one document of every component: that of the smallest key; of rows that share it, any one."""
+    of = free(docs, "_of")
+    linked = jaccard_components(docs, percent, key, text)
+    own = linked.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(of)).distinct()
+    return docs.join(own, F.col(key).eqNullSafe(F.col(of)), "left_semi").dropDuplicates([key])

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.base import materialize, small, whole_text
+from quillmark.llm.base import materialize, small, small_batches, whole_text
 
 #: Labelled documents that the text model is fitted on, at most.
 SAMPLE = 4_000
@@ -79,6 +79,7 @@ def fit_text(docs: DataFrame, sample: int = SAMPLE, text: str = "text", lang: st
     Grams are counted by tasks and summed by language and bin; what comes to the
     driver is the table of the model, BINS numbers a language.
     """
+    small_batches(docs)
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     n = labelled.count()
     order = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30))
@@ -112,6 +113,7 @@ def declared_language(page: Column) -> Column:
 
 def text_evidence(pages: DataFrame, model: TextModel, key: str, url: str, html: str) -> DataFrame:
     """One narrow row a page: its address parts, declared language, text evidence and text-only posterior."""
+    small_batches(pages)
     shared = pages.sparkSession.sparkContext.broadcast((model.languages, model.log_p.astype("float32")))
 
     @F.pandas_udf("evidence array<double>, posterior array<double>")

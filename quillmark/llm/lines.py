@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.base import WORD, materialize, whole_text
+from quillmark.llm.base import WORD, free, let, materialize, whole_text
 
 #: A repeated run of whole lines is deleted from this many words on.
 MIN_WORDS = 10
 
 
-def _lines(text: Column) -> Column:
-    """Lines that hold a word: array of (line number, hash, words)."""
-    every = F.transform(
-        F.split(text, "\n"),
-        lambda line, i: F.struct(i.alias("no"), F.xxhash64(line).alias("h"), F.regexp_count(line, F.lit(WORD)).alias("n")),
-    )
+def _lines(text: Column, min_words: int) -> Column:
+    """Lines that hold a word: array of (line number, hash, words); ``min_words`` stands for any larger number of words."""
+    space = WORD.replace("^", "").rstrip("+")
+    many = rf"^{space}*+(?:{WORD}+{space}++){{{min_words - 1}}}[^\x20\x09-\x0D]"
+
+    def words(line: Column) -> Column:
+        return F.when(F.rlike(line, F.lit(many)), min_words).otherwise(F.regexp_count(line, F.lit(WORD)))
+
+    every = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("no"), F.xxhash64(line).alias("h"), words(line).alias("n")))
     return F.filter(every, lambda x: x["n"] > 0)
 
 
@@ -56,7 +59,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     have a plain shuffle on both sides, so that adaptive execution can split a
     hot fingerprint.
     """
-    lined = docs.select(F.col(key).alias("key"), F.xxhash64(whole_text(text)).alias("text_hash"), _lines(whole_text(text)).alias("lines"))
+    lined = docs.select(F.col(key).alias("key"), F.xxhash64(whole_text(text)).alias("text_hash"), _lines(whole_text(text), min_words).alias("lines"))
     size = F.size("lines")
     places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
     ways = F.concat(
@@ -79,7 +82,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without later repeated runs of lines, plus ``n_lines``, ``n_removed`` and ``text_before``-free texts.
+    """``docs`` without later repeated runs of lines, plus ``n_lines`` and ``n_removed``.
 
     Returns the columns of ``docs`` with the text cut (and ``n_chars``, if it is
     there, counted anew), then ``n_lines`` and ``n_removed``.  Lines without a
@@ -89,18 +92,19 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     the smallest.  Extra columns pass through, ``n_lines`` and ``n_removed`` of
     the input excepted.
     """
-    gone = repeated_runs(docs, key, text, min_words).select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
-    plain = docs.drop("n_lines", "n_removed").withColumn("_own", F.xxhash64(whole_text(text)))
-    joined = plain.join(gone, (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_own") == F.col("_hash")), "left")
+    plain = docs.drop("n_lines", "n_removed")
+    of, own, twin, gone, cut = (free(plain, name) for name in ("_of", "_own", "_twin", "_gone", "_cut"))
+    runs = repeated_runs(docs, key, text, min_words).select(F.col(key).alias(of), F.col("text_hash").alias(twin), F.col("gone").alias(gone))
+    joined = plain.withColumn(own, F.xxhash64(whole_text(text))).join(runs, (F.col(key).eqNullSafe(F.col(of))) & (F.col(own) == F.col(twin)), "left")
     lines = F.split(F.col(text), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    cut = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    shorter = let(lines, lambda every: F.array_join(F.transform(stay, lambda i: F.get(every, i)), "\n"))
     counts = {
         "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)),
-        "n_removed": F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")),
-        "_cut": cut,
+        "n_removed": F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)),
+        cut: F.when(F.col(gone).isNull(), F.col(text)).otherwise(shorter),
     }
-    out = joined.withColumns(counts).withColumn(text, F.col("_cut"))
+    out = joined.withColumns(counts).withColumn(text, F.col(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*plain.drop("_own").columns, "n_lines", "n_removed")
+    return out.select(*plain.columns, "n_lines", "n_removed")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmark.llm.base import WORD, materialize, small, whole_text
+from quillmark.llm.base import WORD, free, materialize, small, whole_text
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_SHARE = 1.5
@@ -127,10 +127,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Documents without a word, which no target can count, stay once.  Rows that
     repeat a key and its text share one decision.
     """
-    key = options.get("key", "doc_id")
-    decided = mix(docs, **options).groupBy(F.col(key).alias("_key"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    sized = docs.withColumn("_words", F.regexp_count(whole_text(options.get("text", "text")), F.lit(WORD)).cast("long"))
-    kept = sized.join(decided, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_words") == F.col("_size")))
-    times = F.when(F.col("_words") == 0, F.lit(1)).otherwise(F.col("_copies"))
-    repeated = kept.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
-    return repeated.select(*docs.columns)
+    key, text = options.get("key", "doc_id"), options.get("text", "text")
+    of, size, words, copies, copy = (free(docs, name) for name in ("_of", "_size", "_words", "_copies", "_copy"))
+    decided = mix(docs, **options).groupBy(F.col(key).alias(of), F.col("size").alias(size)).agg(F.max("copies").alias(copies))
+    sized = docs.withColumn(words, F.regexp_count(whole_text(text), F.lit(WORD)).cast("long"))
+    kept = sized.join(decided, F.col(key).eqNullSafe(F.col(of)) & (F.col(words) == F.col(size)))
+    times = F.when(F.col(words) == 0, F.lit(1)).otherwise(F.col(copies))
+    return kept.where(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)

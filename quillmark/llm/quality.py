@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmark.llm.base import whole_text
+from quillmark.llm.base import small_batches, whole_text
 
 #: Grades of the ratings, worst first.
 GRADES = ("toxic", "junk", "good")
@@ -65,7 +65,7 @@ def _columns_of(word: str, memory: Memory) -> tuple[int, ...]:
         bare = word.strip(PUNCTUATION)
         forms = [word, *(f"^{n}{bare[:n]}" for n in STEMS)]
         found = tuple(zlib.crc32(f.encode("utf-8", "replace")) % WIDTH for f in forms)
-        if len(memory) < 200_000:
+        if len(memory) < 100_000:
             memory[word] = found
     return found
 
@@ -117,6 +117,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     follows a hash of the id, not the partitions: a hash threshold per grade
     leaves about twice the rows wanted and only those narrow rows are ranked.
     """
+    small_batches(docs)
     graded = grades(labels)
     each = sample // len(GRADES)
     order = F.xxhash64("doc_id", F.lit(7))
@@ -198,6 +199,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     ``WIDTH`` numbers whatever the input.  A null text counts as empty; columns
     of the three names in the input are replaced; an empty table stays empty.
     """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.words.astype("float32").tobytes(), model.shapes.tolist(), model.thresholds.tolist()))
 
     @F.pandas_udf("expected_grade double, p_good double")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmark.llm.base import key_runs, materialize, small, whole_text
+from quillmark.llm.base import key_runs, materialize, small, small_batches, whole_text
 
 #: Bytes of a string that may occur only once.
 LENGTH = 100
@@ -26,7 +26,7 @@ COVER = (1, 2)
 SORTED = LENGTH - 2
 #: Bytes that are hashed at once, and anchors a task gathers before it passes them on.
 PIECE = 1 << 19
-CHUNK = 1_000_000
+CHUNK = 400_000
 
 #: Ranges that are broadcast to the texts, at most.
 MOST_RANGES = 1_500_000
@@ -421,6 +421,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     of the text; a null key comes first.  Texts below LENGTH bytes stay.  Empty
     table: no rows; extra columns are ignored.
     """
+    small_batches(docs)
     rows = docs.select(F.col(key).alias("id"), whole_text(text).alias("text"))
     known, distinct, n = rows.agg(F.count("id"), F.count_distinct("id"), F.count("*")).first()
     if known == distinct == n:

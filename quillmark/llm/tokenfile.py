@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillmark.llm.base import key_runs, materialize, scratch, whole_text
+from quillmark.llm.base import key_runs, materialize, scratch, small_batches, whole_text
 from quillmark.llm.bpe import CHUNK_CHARS, REMEMBERED_WORDS
 from quillmark.llm.pretoken import END_OF_TEXT, split
 
@@ -193,6 +193,7 @@ def write(docs: DataFrame, vocabulary_path: str, path: str, key: str = "doc_id",
     that is broadcast.  Text is encoded once; what is kept of it until the
     ranks are known are two bytes an id (four for larger vocabularies).
     """
+    small_batches(docs)
     spark = docs.sparkSession
     with open(vocabulary_path, encoding="utf-8") as file:
         vocabulary = spark.sparkContext.broadcast(file.read())

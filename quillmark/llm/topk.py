@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmark.llm.base import materialize
+from quillmark.llm.base import materialize, small_batches
 
 TOP = 5
 #: Components are turned into floor(SCALE * x), and limited to what 31 bits hold.
@@ -152,6 +152,7 @@ def top_k(vectors: DataFrame, is_query: Column, top: int = TOP, key: str = "vec_
     not find each other; a repeated query is asked once.  Fewer rows than
     ``top`` give fewer ranks, an empty table none; extra columns are ignored.
     """
+    small_batches(vectors)
     x = F.col(vector)
     fine = F.col(key).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     rows = vectors.where(fine).select(F.col(key).cast("long").alias("vec_id"), x.cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
