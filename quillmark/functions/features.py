@@ -19,15 +19,15 @@ from quillmark.functions import text as X
 
 # ---------------------------------------------------------------- fixed values
 KEYWORDS = (
-    "if else for while return def class function var let const int string "
-    "import from include using new public private static void true false null "
-    "try catch throw switch case break continue"
-).split()
-FUNCTION_WORDS = "def function void func fn sub proc".split()
-IMPORT_WORDS = "import from include require using use extern".split()
+    "if", "else", "for", "while", "return", "def", "class", "function", "var", "let", "const", "int", "string",
+    "import", "from", "include", "using", "new", "public", "private", "static", "void", "true", "false", "null",
+    "try", "catch", "throw", "switch", "case", "break", "continue",
+)
+FUNCTION_WORDS = ("def", "function", "void", "func", "fn", "sub", "proc")
+IMPORT_WORDS = ("import", "from", "include", "require", "using", "use", "extern")
 COMMENT_PREFIXES = ["//", "#", "/*", "*"]
 OPERATOR_CLASS = r"[+\-*/%=<>!&|^~]"
-CODE_COMMENT_WORDS = "def class for while if elif return import from".split()
+CODE_COMMENT_WORDS = ("def", "class", "for", "while", "if", "elif", "return", "import", "from")
 CODE_COMMENT_SIGNS = r"[={}()\[\];]"
 BLOCK_COMMENTS = "/\\*.*?\\*/|\"\"\".*?\"\"\"|'''.*?'''"
 COMMENT_OPENERS = "//|#|/\\*|\"\"\"|'''"
@@ -278,7 +278,7 @@ def _id_lens(tokens):
     def all_digits(t):
         return ((t < "a") | (t > "~")) & t.rlike(f"^{X.DIGITS}+$")
 
-    names = F.filter(tokens, lambda t: ~t.isin(KEYWORDS) & ~all_digits(t))
+    names = F.filter(tokens, lambda t: ~t.isin(*KEYWORDS) & ~all_digits(t))
     return F.transform(names, lambda t: F.length(t).cast("double"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ NODE_SCHEMA = (
 
 # Upper bound of the broadcast node table (about 40 bytes a node).
 MAX_NODES = 5_000_000
+# Rows that walk down all trees side by side.
+BLOCK_ROWS = 256
 # Upper bound of the broadcast (key, class, tree) assignment.
 MAX_SAMPLE_ROWS = 1_000_000
 
@@ -99,8 +102,13 @@ def tree_samples(df: DataFrame, label: str, key: str, trees: int, psi: int, seed
 def fit(
     df: DataFrame, columns: Sequence[str], label: str = "label", key: str = "id",
     trees: int = 400, psi: int = 256, seed: int = 123456,
+    prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
-    """A forest per class as a table of nodes."""
+    """A forest per class as a table of nodes.
+
+    ``prepare`` turns raw columns into those the trees are grown on; it sees
+    the sampled rows only.
+    """
     columns = list(columns)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -118,48 +126,80 @@ def fit(
     # The assignment is a few thousand keys per tree, so the table of features
     # is filtered map-side and only sampled rows reach the tree builders.
     samples, _ = bounded(tree_samples(df, label, key, trees, psi, seed), MAX_SAMPLE_ROWS)
-    rows = df.select(key, *columns).join(samples, key)
+    rows = prepare(df.select(key, *columns).join(samples, key))
     return rows.groupBy("class", "tree").applyInPandas(build, NODE_SCHEMA)
 
 
 def score(df: DataFrame, forest: DataFrame, columns: Sequence[str], psi: dict[int, int], names: dict[int, str]) -> DataFrame:
     """Append one decision value per class forest (higher is more normal).
 
-    ``psi`` is the sample size each forest was grown with.  The node table is
-    bounded by trees x 2 psi rows per class and travels as numpy arrays.
+    ``psi`` is the sample size each forest was grown with.  All trees of a class
+    are one node array whose leaves lead to themselves, and a block of rows
+    walks down all of them at once.  At most ``MAX_NODES`` nodes are broadcast
+    in one piece; a larger forest travels in several, whose paths add up.
     """
     columns = list(columns)
-    packed: dict[int, list] = {}
-    if forest.count() > MAX_NODES:
-        raise ValueError(f"a forest of more than {MAX_NODES} nodes is not broadcast; lower trees or psi")
-    nodes = forest.toPandas().sort_values(["class", "tree", "node"])
-    for (k, _), t in nodes.groupby(["class", "tree"], sort=True):
-        packed.setdefault(int(k), []).append(tuple(
-            t[c].to_numpy() for c in ("feature", "split", "left", "right", "depth_score")
-        ))
+    per_tree = forest.groupBy("class", "tree").agg(F.count(F.lit(1)).alias("n")).orderBy("class", "tree").collect()
+    pieces: list[list[tuple[int, int]]] = [[]]
+    held = 0
+    for r in per_tree:
+        if held and held + r["n"] > MAX_NODES:
+            pieces.append([])
+            held = 0
+        pieces[-1].append((int(r["class"]), int(r["tree"])))
+        held += r["n"]
+    classes = sorted({int(r["class"]) for r in per_tree})
+    trees = {k: sum(int(r["class"]) == k for r in per_tree) for k in classes}
+    paths: dict[int, list[Column]] = {k: [] for k in classes}
+    scored = df
+    for i, piece in enumerate(pieces):
+        inside = sorted({k for k, _ in piece})
+        # (class, tree) pairs are in order, so a piece is a range of them
+        pair = F.struct("class", "tree")
+        low, high = (F.struct(F.lit(k).alias("class"), F.lit(t).alias("tree")) for k, t in (piece[0], piece[-1]))
+        nodes = forest.where((pair >= low) & (pair <= high)).toPandas().sort_values(["class", "tree", "node"])
+        walk = _walker(df, {k: _stack(nodes[nodes["class"] == k]) for k in inside}, columns)
+        scored = scored.withColumn(f"_f{i}", walk(F.struct(*columns)))
+        for k in inside:
+            paths[k].append(F.col(f"_f{i}.p{k}"))
+    norm = {k: _mean_path(psi[k]) or 1.0 for k in classes}
+    mean = {k: reduce(lambda a, b: a + b, paths[k]) / F.lit(float(trees[k])) for k in classes}
+    return scored.select(*df.columns, *[(F.lit(0.5) - F.pow(F.lit(2.0), -mean[k] / F.lit(norm[k]))).alias(names[k]) for k in classes])
+
+
+def _stack(nodes: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """One node array of a class: features, cuts, both children, leaf values, and where the trees begin."""
+    size = nodes.groupby("tree", sort=True).size().to_numpy()
+    roots = np.cumsum(size) - size
+    shift = np.repeat(roots, size)
+    own = np.arange(len(nodes))
+    leaf = nodes["feature"].to_numpy() < 0
+    left = np.where(leaf, own, nodes["left"].to_numpy() + shift).astype(np.int32)
+    right = np.where(leaf, own, nodes["right"].to_numpy() + shift).astype(np.int32)
+    return np.maximum(nodes["feature"].to_numpy(), 0).astype(np.int32), nodes["split"].to_numpy(), left, right, nodes["depth_score"].to_numpy(), roots.astype(np.int32)
+
+
+def _walker(df: DataFrame, packed: dict[int, tuple], columns: list[str]):
+    """Arrow UDF: summed path length of each row in the trees of each class."""
     shared = df.sparkSession.sparkContext.broadcast(packed)
-    norm = {k: _mean_path(psi[k]) or 1.0 for k in packed}
-    schema = ", ".join(f"`{names[k]}` double" for k in sorted(packed))
 
-    @F.pandas_udf(schema)
-    def decide(batch: pd.DataFrame) -> pd.DataFrame:
+    @F.pandas_udf(", ".join(f"p{k} double" for k in sorted(packed)))
+    def walk(batch: pd.DataFrame) -> pd.DataFrame:
         x = batch[columns].to_numpy(dtype=float)
-        rows = np.arange(len(x))
         out = {}
-        for k, trees in sorted(shared.value.items()):
-            path = np.zeros(len(x))
-            for feature, split, left, right, leaf in trees:
-                at = np.zeros(len(x), dtype=np.int64)
+        for k, (feature, split, left, right, leaf, roots) in sorted(shared.value.items()):
+            total = np.empty(len(x))
+            for a in range(0, len(x), BLOCK_ROWS):
+                block = x[a : a + BLOCK_ROWS]
+                row = np.arange(len(block))[:, None]
+                at = np.broadcast_to(roots, (len(block), len(roots)))
                 while True:
-                    f = feature[at]
-                    inner = f >= 0
-                    if not inner.any():
+                    down = np.where(block[row, feature[at]] <= split[at], left[at], right[at])
+                    if np.array_equal(down, at):
                         break
-                    down = np.where(x[rows, np.maximum(f, 0)] <= split[at], left[at], right[at])
-                    at = np.where(inner, down, at)
-                path += leaf[at]
-            out[names[k]] = 0.5 - np.power(2.0, -path / len(trees) / norm[k])
+                    at = down
+                total[a : a + BLOCK_ROWS] = leaf[at].sum(axis=1)
+            out[f"p{k}"] = total
         return pd.DataFrame(out)
 
-    scored = df.withColumn("_f", decide(F.struct(*columns)))
-    return scored.select(*df.columns, *[F.col(f"_f.{names[k]}").alias(names[k]) for k in sorted(packed)])
+    return walk

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.operators import ordering as O
+from quillmark.operators.selection import exceeds
 from quillmark.sources.session import materialize
 
 
@@ -93,9 +94,15 @@ def report(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Exact area under the ROC curve; tied scores share their average rank."""
+    """Exact area under the ROC curve; tied scores share their average rank.
+
+    Rows without a score are left out, as in ``sweep``; a NaN score is no
+    position in an order and raises.
+    """
+    if not df.where(F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull()).isEmpty():
+        raise ValueError(f"{score} holds NaN")
     counts = (
-        df.where(F.col(label).isNotNull())
+        df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
         .groupBy(F.col(score).alias("s"))
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     )
@@ -144,7 +151,7 @@ def sweep(df: DataFrame, scores: Sequence[str], cuts: Sequence[float], label: st
         .select(F.col(label).alias("y"), models.alias("m"))
         .where(F.col("m.score").isNotNull())
         .groupBy(F.col("m.model").alias("model"),
-                 F.size(F.filter(grid, lambda t: t < F.col("m.score"))).alias("place"))
+                 F.size(F.filter(grid, lambda t: exceeds(F.col("m.score"), t))).alias("place"))
         .agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     )
     # A score at ``place`` is called positive by exactly the first ``place`` thresholds.

@@ -69,15 +69,15 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: str, seed: int = 42, out: s
     return placed.withColumn(out, F.col("_off") + F.col("_local")).drop("_h", "_b", "_off", "_local")
 
 
-def take_lowest(df: DataFrame, by: Sequence[str], key: str, quota: int | DataFrame, seed: int = 42) -> DataFrame:
-    """Exactly ``quota`` rows per group (all of a smaller group), lowest hashes first.
+def boundaries(df: DataFrame, by: Sequence[str], key: str, quota: int | DataFrame, seed: int = 42) -> DataFrame:
+    """Where the ``quota`` lowest hashes of each group end: one row ``<by>, last_h, last_key`` per group.
 
-    ``quota`` is one number, or a table of the group columns plus ``quota``.
-    Range sizes tell in which range each group reaches its quota.  Rows of later
-    ranges are dropped by a map-side filter, rows of earlier ranges pass through,
-    and only the one range that is cut inside is shuffled and ranked.
+    ``quota`` is one number, or a table of the group columns plus ``quota``; a
+    group without one has no row.  ``df`` needs the group columns and the key
+    only.  Range sizes tell in which hash range a group reaches its quota, and
+    only that range is ranked.
     """
-    marked, sizes, _ = _ranged(df, by, key, seed)
+    marked, sizes, _ = _ranged(df.select(*by, key), by, key, seed)
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     sizes = sizes.withColumn("_upto", F.sum("_n").over(upto))
     if isinstance(quota, int):
@@ -90,22 +90,45 @@ def take_lowest(df: DataFrame, by: Sequence[str], key: str, quota: int | DataFra
     taken = sizes.where(room > 0).withColumn("_room", F.least(room, F.col("_n")))
     edges = taken.groupBy(*by).agg(F.max("_b").alias("_last"), F.max_by("_room", "_b").alias("_room"))
     edges, small = bounded(edges, SMALL)
-    if small:
-        near = attach(marked, edges, by, ["_last", "_room"], "inner").where(F.col("_b") <= F.col("_last"))
+    if not by:
+        edge = edges.first()
+        last, room = (edge["_last"], edge["_room"]) if edge else (None, None)
+        near = marked.where(F.col("_b") == F.lit(last)).withColumn("_room", F.lit(room))
+    elif small:
+        near = attach(marked, edges, by, ["_last", "_room"], "inner").where(F.col("_b") == F.col("_last"))
     else:
-        # Too many groups to broadcast: join per range, so that a hot group is
-        # spread over its ranges instead of landing in one task.
-        last = F.max("_b").over(Window.partitionBy(*by))
-        ranges = taken.withColumn("_last", last).select(*by, "_b", "_last", "_room")
-        near = attach(marked, ranges, [*by, "_b"], ["_last", "_room"], "inner")
-    whole = near.where(F.col("_b") < F.col("_last"))
-    local = Window.partitionBy(*by).orderBy("_h", key)
-    edge = (
-        near.where(F.col("_b") == F.col("_last"))
-        .withColumn("_local", F.row_number().over(local))
-        .where(F.col("_local") <= F.col("_room"))
-    )
-    return whole.select(*df.columns).unionByName(edge.select(*df.columns))
+        # too many groups to broadcast: the range is part of the join key, so a hot group brings one of its ranges
+        near = attach(marked, edges.withColumn("_b", F.col("_last")), [*by, "_b"], ["_last", "_room"], "inner")
+    local = Window.partitionBy(*by, "_b").orderBy("_h", key)
+    cut = near.withColumn("_local", F.row_number().over(local)).where(F.col("_local") == F.col("_room"))
+    return cut.select(*by, F.col("_h").alias("last_h"), F.col(key).alias("last_key"))
+
+
+def upto_boundary(last: DataFrame, by: Sequence[str], key: str, seed: int) -> Column:
+    """Whether a row of a table without groups lies within its boundary (one row, as literals)."""
+    row = last.first()
+    if row is None:
+        return F.lit(False)
+    return _within(key, seed, F.lit(row["last_h"]), F.lit(row["last_key"]))
+
+
+def _within(key: str, seed: int, last_h: Column, last_key: Column) -> Column:
+    h = hash_key(key, seed)
+    return (h < last_h) | ((h == last_h) & (F.col(key) <= last_key))
+
+
+def take_lowest(df: DataFrame, by: Sequence[str], key: str, quota: int | DataFrame, seed: int = 42) -> DataFrame:
+    """Exactly ``quota`` rows per group (all of a smaller group), lowest hashes first.
+
+    The boundary of each group comes from the group columns and the key alone;
+    the rows themselves are read once and filtered map-side, without a shuffle,
+    as long as the boundaries are few enough to broadcast.  Keys are unique.
+    """
+    last, small = bounded(boundaries(df, by, key, quota, seed), SMALL)
+    if small and not by:
+        return df.where(upto_boundary(last, by, key, seed))
+    kept = attach(df, last, by, ["last_h", "last_key"], "inner")
+    return kept.where(_within(key, seed, F.col("last_h"), F.col("last_key"))).select(*df.columns)
 
 
 def running_totals(
@@ -119,11 +142,13 @@ def running_totals(
     """
     spark = counts.sparkSession
     if ranges is None:
-        ranges = max(2, min(256, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+        # as many ranges as keep each within what one task may rank
+        longest = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+        ranges = max(2, min(256, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), 2 * math.ceil(longest / RANGE_ROWS))
     probs = [i / ranges for i in range(1, ranges)]
     cut_rows = counts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, probs, 1000).alias("_bounds"),
+        F.percentile_approx(value, probs, max(1000, 10 * ranges)).alias("_bounds"),
     )
     cut_rows, small = bounded(cut_rows, SMALL // ranges)
     if small and not cut_rows.where(F.col("_n") > SMALL).take(1):

@@ -16,12 +16,17 @@ from quillmark.operators import ordering as O
 def fit(df: DataFrame, columns: Sequence[str], n: int = 1000) -> dict[str, list[float]]:
     """Quantile landmarks per column, at most ``n`` and never more than rows.
 
-    The result has ``columns x n`` numbers whatever the size of the table.
+    The result has ``columns x n`` numbers whatever the size of the table.  A
+    column without any value can't be fitted and raises.
     """
     n = max(2, min(n, df.count()))
     grid: dict[str, list[float]] = {c: [0.0] * n for c in columns}
+    seen = set()
     for row in O.quantile_grid(df, columns, n).collect():
         grid[row["feature"]][row["k"]] = row["value"]
+        seen.add(row["feature"])
+    if empty := [c for c in columns if c not in seen]:
+        raise ValueError(f"no value to fit in {', '.join(empty)}")
     return {c: list(np.maximum.accumulate(v)) for c, v in grid.items()}
 
 

@@ -54,17 +54,26 @@ def shuffle_position(df: DataFrame, key: str = "id", seed: int = 42) -> DataFram
 
 def sample_rows(df: DataFrame, n: int, key: str = "id", seed: int = 42) -> DataFrame:
     """``n`` rows for a quick look, fixed by the seed (all rows of a smaller table)."""
-    return O.take_lowest(df.withColumn("_all", F.lit(0)), ["_all"], key, n, seed).drop("_all")
+    return O.take_lowest(df, [], key, n, seed)
 
 
 def head(df: DataFrame, n: int, key: str = "id") -> DataFrame:
-    """The ``n`` rows with the smallest key.
+    """The ``n`` rows with the smallest key; a null key comes last.
 
     The cut value comes from an order statistic over the key alone, so the rows
-    themselves are only filtered, never sorted or sent to one task.
+    themselves are only filtered, never sorted or sent to one task.  Of rows
+    that share the cut key (or have none, where those must fill up), just as
+    many as are missing are taken.
     """
     if n <= 0:
         return df.limit(0)
-    if df.select(key).count() <= n:
+    rows, known = df.agg(F.count(F.lit(1)), F.count(key)).first()
+    if rows <= n:
         return df
-    return df.where(F.col(key) <= F.lit(O.nth_value(df, key, n)))
+    if known <= n:
+        return df.where(F.col(key).isNotNull()).unionByName(df.where(F.col(key).isNull()).limit(n - known))
+    cut = O.nth_value(df, key, n)
+    below, equal = df.agg(F.count_if(F.col(key) < F.lit(cut)), F.count_if(F.col(key) == F.lit(cut))).first()
+    if below + equal == n:
+        return df.where(F.col(key) <= F.lit(cut))
+    return df.where(F.col(key) < F.lit(cut)).unionByName(df.where(F.col(key) == F.lit(cut)).limit(n - below))

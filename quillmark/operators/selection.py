@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.operators import ordering as O
 
 
+def exceeds(score: Column, threshold: Column) -> Column:
+    """``score > threshold`` as floating point has it: false for NaN, which Spark sorts above every number."""
+    return ~F.isnan(score.cast("double")) & (score > threshold)
+
+
 def at(df: DataFrame, score: str, threshold: float, out: str = "label") -> DataFrame:
-    """Label 1 strictly above the threshold."""
-    return df.withColumn(out, (F.col(score) > F.lit(threshold)).cast("int"))
+    """Label 1 strictly above the threshold; 0 for NaN, null for a null score."""
+    return df.withColumn(out, exceeds(F.col(score), F.lit(threshold)).cast("int"))
 
 
 def top_threshold(df: DataFrame, score: str, n: int) -> float:
     """The n-th highest score; past either end a value beyond every score."""
+    df = df.where(~F.isnan(F.col(score).cast("double")))
     size, low, high = df.agg(F.count(score), F.min(score), F.max(score)).first()
     if n <= 0:
         return float(high) + 1.0
@@ -34,17 +40,16 @@ def top_n(
     positive.
     """
     cut = top_threshold(df, score, n)
-    above = F.col(score) > F.lit(cut)
+    above = exceeds(F.col(score), F.lit(cut))
     if ties == "drop":
         return df.withColumn(out, above.cast("int"))
     if ties != "fill":
         raise ValueError("ties must be 'drop' or 'fill'")
-    strictly = df.where(above)
-    missing = n - strictly.count()
-    equal = df.where(F.col(score) == F.lit(cut))
+    equal = F.col(score) == F.lit(cut)
+    missing = n - (df.agg(F.count_if(above)).first()[0] or 0)
     if n <= 0 or missing <= 0:
         return df.withColumn(out, above.cast("int"))
-    ranked = O.hash_rank(equal.withColumn("_all", F.lit(0)), ["_all"], key, seed, "_rank").drop("_all")
-    filled = ranked.withColumn(out, (F.col("_rank") <= missing).cast("int")).drop("_rank")
-    rest = df.where(~(F.col(score) == F.lit(cut)) | F.col(score).isNull())
-    return rest.withColumn(out, above.cast("int")).unionByName(filled)
+    # the tied rows of the lowest hashes fill up: their boundary is one (hash, key), found on the keys alone
+    last = O.boundaries(df.where(equal).select(key), [], key, missing, seed)
+    inside = O.upto_boundary(last, [], key, seed)
+    return df.withColumn(out, F.when(equal, inside).otherwise(above).cast("int"))

@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from quillmark.operators import metrics as M
 from quillmark.operators import scaling
 
+# Rounds of the first fit when early stopping may end it; each next fit has twice as many.
+FIRST_ROUNDS = 64
+# Rows of one partition of a training table.
+LAYOUT_ROWS = 100_000
+
 # Appends P(class 1) of every row as a double column: score(df, out).
 Scorer = Callable[[DataFrame, str], DataFrame]
 
@@ -35,21 +40,23 @@ class BoostParams:
     row_share: float = 0.8
     column_share: float = 0.7
     wait: int | None = 50
-    min_rows: int = 1
+    min_rows: int = 20
     seed: int = 42
     threshold: float = 0.5
-    bins: int = 32
+    bins: int = 255
+    # what early stopping watches: macro_f1, f1 (of class 1) or log_loss
+    watch: str = "macro_f1"
 
     def scaled(self, rounds: int, wait: int | None = None) -> BoostParams:
         return replace(self, rounds=rounds, wait=wait if wait is not None else self.wait)
 
 
-# The four boosted set-ups.
+# The five boosted set-ups.
 BOOST_PRESETS = {
     "depth3": BoostParams(),
     "depth5": BoostParams(depth=5),
-    "depth6_wait100": BoostParams(rounds=5000, depth=6, column_share=1.0, row_share=1.0, wait=100),
-    "depth5_wait100": BoostParams(rounds=5000, depth=5, wait=100),
+    "depth6_wait100": BoostParams(rounds=5000, depth=6, column_share=1.0, row_share=1.0, wait=100, min_rows=1, watch="f1"),
+    "depth5_wait100": BoostParams(rounds=5000, depth=5, wait=100, min_rows=1, watch="log_loss"),
     "stacking": BoostParams(depth=5, column_share=0.6, wait=None, min_rows=50, seed=123456),
 }
 
@@ -76,6 +83,9 @@ class StagedBoost:
         leaves = [
             [float(v) for v in re.findall(r"Predict: (\S+)", tree.toDebugString)] for tree in model.trees
         ]
+        for tree, row in zip(model.trees, leaves):
+            if len(row) != (tree.numNodes + 1) // 2:
+                raise ValueError("the printed tree does not hold one value per leaf")
         width = max(len(row) for row in leaves)
         self.values = np.zeros((len(leaves), width))
         for i, (row, w) in enumerate(zip(leaves, model.treeWeights)):
@@ -88,7 +98,7 @@ class StagedBoost:
         )
 
     def by_round(self, df: DataFrame, label: str = "label", threshold: float = 0.5) -> DataFrame:
-        """Macro scores after each round; every batch leaves as one small table."""
+        """Macro scores, ``f1`` and ``log_loss`` after each round; every batch leaves as one small table."""
         values = df.sparkSession.sparkContext.broadcast(self.values)
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,27 +111,33 @@ class StagedBoost:
                 margin = np.cumsum(table[trees, leaf], axis=1)
                 called = 1.0 / (1.0 + np.exp(-2.0 * margin)) > threshold
                 y = pdf["y"].to_numpy()[:, None] == 1
+                loss = np.logaddexp(0.0, np.where(y, -2.0, 2.0) * margin)
                 yield pd.DataFrame({
                     "round": trees + 1,
                     "tp": (called & y).sum(0), "fp": (called & ~y).sum(0),
-                    "fn": (~called & y).sum(0), "tn": (~called & ~y).sum(0),
+                    "fn": (~called & y).sum(0), "tn": (~called & ~y).sum(0), "loss": loss.sum(0),
                 })
 
         known = self._leaves(df.where(F.col(label).isNotNull())).select(F.col(label).alias("y"), "_leaf")
-        cells = known.mapInPandas(count, "round int, tp bigint, fp bigint, fn bigint, tn bigint")
-        summed = cells.groupBy("round").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
-        return M.with_macro(summed)
-
-    def best_round(self, df: DataFrame, wait: int | None, label: str = "label", threshold: float = 0.5) -> int:
-        """First best macro F1, giving up after ``wait`` rounds without a gain."""
-        history = self.by_round(df, label, threshold).select("round", "macro_f1").orderBy("round").collect()
-        best, at = -1.0, self.rounds
+        cells = known.mapInPandas(count, "round int, tp bigint, fp bigint, fn bigint, tn bigint, loss double")
+        summed = cells.groupBy("round").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn", "loss")])
+        rows = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+        f1 = F.coalesce(2.0 * F.col("tp") / F.nullif(2.0 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0.0)), F.lit(0.0))
+        return M.with_macro(summed.withColumns({"f1": f1, "log_loss": F.col("loss") / rows}).drop("loss"))
+
+    def best_round(
+        self, df: DataFrame, wait: int | None, label: str = "label", threshold: float = 0.5, watch: str = "macro_f1"
+    ) -> tuple[int, bool]:
+        """First best round, giving up after ``wait`` rounds without a gain; whether it gave up."""
+        history = self.by_round(df, label, threshold).select("round", watch).orderBy("round").collect()
+        sign = -1.0 if watch == "log_loss" else 1.0
+        best, at = None, self.rounds
         for row in history:
-            if row["macro_f1"] > best:
-                best, at = row["macro_f1"], row["round"]
+            if best is None or sign * row[watch] > best:
+                best, at = sign * row[watch], row["round"]
             elif wait is not None and row["round"] - at >= wait:
-                break
-        return at
+                return at, True
+        return at, False
 
     def score(self, df: DataFrame, out: str, rounds: int | None = None) -> DataFrame:
         used = self.values[: rounds or self.rounds]
@@ -140,29 +156,50 @@ class StagedBoost:
 def boosted_model(
     train: DataFrame, columns: Sequence[str], params: BoostParams = BOOST_PRESETS["depth3"], label: str = "label"
 ) -> StagedBoost:
-    """Fit all rounds.  Columns are drawn per node, leaves are not regularised."""
+    """Fit all rounds.  Columns are drawn per node, leaves are not regularised.
+
+    Spark ML draws its row samples and bins partition by partition.  The rows
+    are therefore dealt by a hash of their content, in a number of partitions
+    that depends on the rows alone, and sorted: the same rows give the same
+    model on any cluster and from any layout.
+    """
     gbt = GBTClassifier(
         featuresCol="_x", labelCol=label, maxIter=params.rounds, stepSize=params.rate,
         maxDepth=params.depth, subsamplingRate=params.row_share, maxBins=params.bins,
         featureSubsetStrategy=str(params.column_share) if params.column_share < 1 else "all",
         minInstancesPerNode=params.min_rows, seed=params.seed,
     )
-    data = assemble(train.where(F.col(label).isNotNull()), columns)
-    return StagedBoost(gbt.fit(data.select(F.col(label).cast("double").alias(label), "_x")), columns)
+    known = train.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias(label), *columns)
+    dealt = known.repartition(4 + known.count() // LAYOUT_ROWS, F.xxhash64(label, *columns)).sortWithinPartitions(*columns, label)
+    return StagedBoost(gbt.fit(assemble(dealt, columns).select(label, "_x")), columns)
+
+
+def fit_until(
+    train: DataFrame, val: DataFrame | None, columns: Sequence[str], params: BoostParams, label: str = "label"
+) -> tuple[StagedBoost, int | None]:
+    """Fit no more rounds than early stopping needs: the model and the round to stop at.
+
+    A fit of few rounds is a prefix of a longer one.  So the rounds are doubled
+    until the watched metric has not improved for ``wait`` rounds or all rounds
+    are fitted; that costs at most about four times the rounds up to the stop.
+    """
+    if val is None or params.wait is None:
+        return boosted_model(train, columns, params, label), None
+    rounds = min(params.rounds, max(FIRST_ROUNDS, params.wait + 1))
+    while True:
+        model = boosted_model(train, columns, replace(params, rounds=rounds), label)
+        stop, gave_up = model.best_round(val, params.wait, label, params.threshold, params.watch)
+        if gave_up or rounds >= params.rounds:
+            return model, stop
+        rounds = min(params.rounds, 2 * rounds)
 
 
 def fit_boosted(
     train: DataFrame, val: DataFrame | None, columns: Sequence[str],
     params: BoostParams = BOOST_PRESETS["depth3"], label: str = "label",
 ) -> Scorer:
-    """Boosted trees; with a validation set the score stops at its best round.
-
-    The monitored metric is macro F1 at ``params.threshold``.
-    """
-    model = boosted_model(train, columns, params, label)
-    stop = None
-    if val is not None and params.wait is not None:
-        stop = model.best_round(val, params.wait, label, params.threshold)
+    """Boosted trees; with a validation set the score stops at its best round by ``params.watch``."""
+    model, stop = fit_until(train, val, columns, params, label)
     return lambda df, out: model.score(df, out, stop)
 
 

@@ -58,8 +58,9 @@ def fit(
     columns = list(columns)
     known = train.where(f"{label} is not null").select(key, label, *columns)
     grid = quantile.fit(known, columns, quantiles)
-    uniform = quantile.transform(known, grid)
-    forest = materialize(iforest.fit(uniform, columns, label, key, trees, psi, seed), "forest")
+    # only the sampled rows are transformed
+    grown = iforest.fit(known, columns, label, key, trees, psi, seed, lambda rows: quantile.transform(rows, grid))
+    forest = materialize(grown, "forest")
     sizes = {int(r[label]): min(psi, r["count"]) for r in known.groupBy(label).count().collect()}
     model = AnomalyModel(columns, grid, forest, sizes)
     scored = model.pair(known)

@@ -34,26 +34,35 @@ def write_submission(df: DataFrame, path: str, key: str = "ID", label: str = "la
     df.select(F.col(key).alias("ID"), F.col(label).alias("label")).write.mode("overwrite").csv(path, header=True)
 
 
-def _readable(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        # no folder, or one that an interrupted run left without committed files
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file is there, asked of whichever file system the path names."""
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file)
 
 
 def cached(spark: SparkSession, path: str, version: str, build: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
     """The table stored under ``path/version=...``, computed first if needed.
 
     A new version string (feature set, settings) never sees an old table, and
-    ``refresh`` overwrites a stale one.
+    ``refresh`` replaces a stale one.  Only a table whose files were all
+    committed is served: Spark's marker says so, and next to it a list of the
+    files, so that one that lost a part is built anew.
     """
     target = f"{path.rstrip('/')}/version={version}"
-    if not refresh:
-        found = _readable(spark, target)
-        if found is not None:
-            return found
+    listing = f"{target}.files"
+    if not refresh and _exists(spark, f"{target}/_SUCCESS") and _exists(spark, f"{listing}/_SUCCESS"):
+        wanted = {r["value"] for r in spark.read.text(listing).collect()}
+        try:
+            found = spark.read.parquet(target)
+            if wanted == {name.rsplit("/", 1)[-1] for name in found.inputFiles()}:
+                return found
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
     build().write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    stored = spark.read.parquet(target)
+    names = [(name.rsplit("/", 1)[-1],) for name in stored.inputFiles()]
+    # one short line a file; the list is written last and vouches for the table
+    spark.createDataFrame(names, "value string").coalesce(1).write.mode("overwrite").text(listing)
+    return stored

@@ -25,15 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder of intermediate tables below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/quillmark/{spark.sparkContext.applicationId}"
+
+
+def close(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application; results that still read them must be stored first."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage of tables that are read many times (features ahead of
-    iterative fits).  The columnar copy survives lost executors and still
+    iterative fits).  ``close`` removes it.  The columnar copy survives lost executors and still
     allows column pruning and filter pushdown.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quillmark/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

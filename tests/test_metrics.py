@@ -163,3 +163,39 @@ def test_quantile_transform(spark):
     assert {r["c"] for r in out} == {0.0}
     beyond = spark.createDataFrame([(1, -5.0, 0.0), (2, 99.0, 9.0)], "id long, x double, c double")
     assert [r["x"] for r in quantile.transform(beyond, grid).orderBy("id").collect()] == [0.0, 1.0]
+
+
+def test_missing_scores(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0, nan), (1, 0.9), (0, 0.2), (1, None)], "label int, score double")
+    row = M.sweep(df, ["score"], [0.5]).first()
+    assert (row["tp"], row["fp"], row["fn"], row["tn"]) == (1, 0, 0, 2)
+    assert [r["pred"] for r in selection.at(df, "score", 0.5, "pred").collect()] == [0, 1, 0, None]
+    with pytest.raises(ValueError):
+        M.auc(df)
+    assert M.auc(df.where("not isnan(score) or score is null")).first()["auc"] == 1.0
+
+
+def test_a_column_without_values_is_not_fitted(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
+    with pytest.raises(ValueError, match="b"):
+        quantile.fit(df, ["a", "b"], 10)
+
+
+def test_qda_of_three_and_four_columns(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4))
+    y = (rng.random(200) < 0.4).astype(int)
+    x[y == 1] += 0.7
+    df = spark.createDataFrame([(int(k), *map(float, v)) for k, v in zip(y, x, strict=True)], "label int, a double, b double, c double, d double")
+    for columns in (["a"], ["a", "b", "c"], ["a", "b", "c", "d"]):
+        k = len(columns)
+        logs = []
+        for c in (0, 1):
+            own = x[y == c][:, :k]
+            cov = np.atleast_2d(np.cov(own.T))
+            gap = x[:, :k] - own.mean(axis=0)
+            logs.append(math.log((y == c).mean()) - 0.5 * np.log(np.linalg.det(cov)) - 0.5 * np.einsum("ij,jk,ik->i", gap, np.linalg.inv(cov), gap))
+        expected = 1 / (1 + np.exp(logs[0] - logs[1]))
+        got = [r["probability"] for r in qda.score(df, qda.fit(df, columns), columns).collect()]
+        assert got == pytest.approx(list(expected), abs=1e-9)

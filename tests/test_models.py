@@ -34,7 +34,7 @@ def _auc(df, score):
 
 def test_boosted_stages(parts):
     train, val = parts
-    params = trees.BoostParams(rounds=12, wait=4, row_share=1.0, column_share=1.0)
+    params = trees.BoostParams(rounds=12, wait=4, row_share=1.0, column_share=1.0, min_rows=1)
     model = trees.boosted_model(train, COLUMNS, params)
     history = {r["round"]: r for r in model.by_round(val).collect()}
     assert sorted(history) == list(range(1, 13))
@@ -45,14 +45,48 @@ def test_boosted_stages(parts):
     for t in (1, 12):
         pred = model.score(val, "s", t).withColumn("pred", (F.col("s") > 0.5).cast("int"))
         assert metrics.macro(pred).first()["macro_f1"] == pytest.approx(history[t]["macro_f1"])
-    best = model.best_round(val, None)
-    assert history[best]["macro_f1"] == max(h["macro_f1"] for h in history.values())
-    assert model.best_round(val, 1) <= best
+    best, gave_up = model.best_round(val, None)
+    assert not gave_up and history[best]["macro_f1"] == max(h["macro_f1"] for h in history.values())
+    assert model.best_round(val, 1)[0] <= best
+    lowest = model.best_round(val, None, watch="log_loss")[0]
+    assert history[lowest]["log_loss"] == min(h["log_loss"] for h in history.values())
+    for r in history.values():
+        assert r["f1"] == pytest.approx(2 * r["tp"] / (2 * r["tp"] + r["fp"] + r["fn"]))
     scored = trees.fit_boosted(train, val, COLUMNS, params)(val, "s")
     assert _auc(scored, "s") > 0.8
     assert scored.columns == [*val.columns, "s"]
 
 
+def test_boosting_stops_while_fitting(parts):
+    train, val = parts
+    model, stop = trees.fit_until(train, val, COLUMNS, trees.BoostParams(rounds=5000, wait=10, depth=2, min_rows=5))
+    assert stop <= model.rounds - 10 and model.rounds < 1000
+    full, all_rounds = trees.fit_until(train, None, COLUMNS, trees.BoostParams(rounds=3, wait=10))
+    assert full.rounds == 3 and all_rounds is None
+
+
+def test_boosting_does_not_depend_on_partitions(parts):
+    train, val = parts
+    params = trees.BoostParams(rounds=5, wait=None, row_share=0.7, column_share=0.7, min_rows=3)
+    scores = []
+    for k in (2, 7):
+        scored = trees.fit_boosted(train.repartition(k), None, COLUMNS, params)(val, "s")
+        scores.append({r["id"]: r["s"] for r in scored.collect()})
+    assert scores[0].keys() == scores[1].keys()
+    assert max(abs(scores[0][i] - scores[1][i]) for i in scores[0]) < 1e-9
+
+
+def test_forest_in_several_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, i % 2, *map(float, rng.normal(size=3))) for i in range(300)], "id long, label int, a double, b double, c double")
+    forest = iforest.fit(df, COLUMNS, trees=12, psi=32).cache()
+    whole = {r["id"]: (r["h"], r["m"]) for r in iforest.score(df, forest, COLUMNS, {0: 32, 1: 32}, {0: "h", 1: "m"}).collect()}
+    monkeypatch.setattr(iforest, "MAX_NODES", 150)
+    pieces = {r["id"]: (r["h"], r["m"]) for r in iforest.score(df, forest, COLUMNS, {0: 32, 1: 32}, {0: "h", 1: "m"}).collect()}
+    assert whole.keys() == pieces.keys()
+    assert all(whole[i] == pytest.approx(pieces[i]) for i in whole)
+
+
 def test_forest_and_logistic(parts):
     train, val = parts
     assert _auc(trees.fit_forest(train, COLUMNS, trees=20)(val, "s"), "s") > 0.8

@@ -125,3 +125,24 @@ def test_describe_and_argmax(spark):
     assert sum(b["count"] for b in profile.histogram(df, "x").collect()) == 5
     assert profile.histogram(df.where("x > 100"), "x", bins=3).count() == 0
     assert profile.density(df.where("x = 9"), "x").count() == 0
+
+
+def test_sampling_reads_the_rows_once(spark, tmp_path):
+    """The boundary comes from narrow columns; the wide rows are scanned once and not shuffled."""
+    rows = [(i, f"g{i % 3}", f"text {i}") for i in range(400)]
+    spark.createDataFrame(rows, "id long, g string, text string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    kept = sampling.per_group(df, ["g"], 50)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("text#") and sum("FileScan" in line and "text" in line for line in plan.splitlines()) == 1
+    assert "Exchange hashpartitioning" not in plan
+    assert {r["g"]: r["count"] for r in kept.groupBy("g").count().collect()} == {"g0": 50, "g1": 50, "g2": 50}
+    assert sampling.sample_rows(df, 70).count() == 70
+
+
+def test_head_is_exact_on_repeated_and_missing_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "d"), (None, "e"), (None, "f")], "id int, v string")
+    assert [r["id"] for r in sampling.head(df, 1).collect()] == [1]
+    assert sorted(r["id"] for r in sampling.head(df, 4).collect()) == [1, 1, 1, 2]
+    assert sorted((r["id"] or 9) for r in sampling.head(df, 5).collect()) == [1, 1, 1, 2, 9]
+    assert sampling.head(df, 6).count() == sampling.head(df, 99).count() == 6

@@ -107,3 +107,30 @@ def test_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError):
         session.shared_dir(Session())
+
+
+def test_cache_that_lost_a_part_is_built_anew(spark, tmp_path):
+    path, calls = str(tmp_path / "cache"), []
+
+    def build():
+        calls.append(1)
+        return spark.range(40).repartition(4)
+
+    assert corpus.cached(spark, path, "1", build).count() == 40
+    assert corpus.cached(spark, path, "1", build).count() == 40 and len(calls) == 1
+    import os
+
+    os.remove(glob.glob(f"{path}/version=1/part-*.parquet")[0])
+    assert corpus.cached(spark, path, "1", build).count() == 40 and len(calls) == 2
+    os.remove(f"{path}/version=1/_SUCCESS")
+    assert corpus.cached(spark, path, "1", build).count() == 40 and len(calls) == 3
+
+
+def test_close_removes_what_a_run_left(spark):
+    import os
+
+    stored = session.materialize(spark.range(5), "closing")
+    assert stored.count() == 5 and os.path.isdir(session.run_dir(spark))
+    session.close(spark)
+    assert not os.path.exists(session.run_dir(spark))
+    assert session.materialize(spark.range(3)).count() == 3
