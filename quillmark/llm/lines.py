@@ -29,13 +29,14 @@ def _window(lines: Column, i: Column, step: int, min_words: int) -> Column:
     A line has a word at least, so ``min_words`` lines are always enough.
     """
     at = [F.get(lines, i + step * k) for k in range(min_words)]
-    words, run = F.lit(0), F.lit(None).cast("struct<first:int,last:int,content:bigint,mark:bigint>")
+    words, run = F.lit(0), F.lit(None).cast("struct<first:int,last:int,content:bigint,mark:struct<h:bigint,no:int>>")
     cases = []
     for k in range(min_words):
         words = words + at[k]["n"]
         hashes = [x["h"] for x in (at[: k + 1] if step > 0 else at[k::-1])]
         ends = (at[0]["no"], at[k]["no"]) if step > 0 else (at[k]["no"], at[0]["no"])
-        mark = F.least(*hashes) if k else hashes[0]
+        marks = [F.struct(x["h"].alias("h"), x["no"].alias("no")) for x in at[: k + 1]]
+        mark = F.least(*marks) if k else marks[0]
         cases.append((words >= min_words, F.struct(ends[0].alias("first"), ends[1].alias("last"), F.xxhash64(*hashes).alias("content"), mark.alias("mark"))))
     for found, value in reversed(cases):
         run = F.when(found, value).otherwise(run)
@@ -46,14 +47,14 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     """Line numbers to delete: one row ``<key>, text_hash, gone`` per document that has any.
 
     A window is a shortest run of consecutive lines (lines without words are
-    passed over) with ``min_words`` words.  Its fingerprint is the smallest
-    line hash in it, so two documents that share a run of ``min_words`` words in
-    whole lines always share a fingerprint.  Only windows whose fingerprint was
-    selected at two places are kept.  Around each such place the match is
-    extended both ways: windows that start at a line and windows that end at a
-    line cover, together, every run of enough words.  A window that also starts
-    earlier (smaller key, then earlier line) is deleted; the first one stays.
-    Everything is judged on the input.
+    passed over) with ``min_words`` words.  Its fingerprint is the line of the
+    smallest hash in it, so two documents that share a run of ``min_words``
+    words in whole lines always share a fingerprint.  Fingerprints are joined by
+    their hash: only windows whose fingerprint was selected at two places are
+    kept.  Around each such place the match is extended both ways: windows that
+    start at a line and windows that end at a line cover, together, every run of
+    enough words.  A window that also starts earlier (smaller key, then earlier
+    line) is deleted; the first one stays.  Everything is judged on the input.
 
     Hot lines: counts and first places are partial aggregates; the joins back
     have a plain shuffle on both sides, so that adaptive execution can split a
@@ -62,16 +63,14 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     lined = docs.select(F.col(key).alias("key"), F.xxhash64(whole_text(text)).alias("text_hash"), _lines(whole_text(text), min_words).alias("lines"))
     size = F.size("lines")
     places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    ways = F.concat(
-        F.transform(places, lambda i: F.struct(F.lit(True).alias("forward"), _window(F.col("lines"), i, 1, min_words).alias("w"))),
-        F.transform(places, lambda i: F.struct(F.lit(False).alias("forward"), _window(F.col("lines"), i, -1, min_words).alias("w"))),
-    )
-    found = lined.select("key", "text_hash", F.explode(F.array_distinct(F.filter(ways, lambda x: x["w"].isNotNull()))).alias("x"))
-    windows = materialize(found.select("key", "text_hash", "x.forward", "x.w.*"), "windows")
-
-    selected = windows.where("forward").groupBy("mark", "key", "text_hash", "first").agg(F.lit(1).alias("one"))
+    forward = F.transform(places, lambda i: _window(F.col("lines"), i, 1, min_words))
+    backward = F.transform(places, lambda i: _window(F.col("lines"), i, -1, min_words))
+    found = lined.select("key", "text_hash", F.explode(F.array_distinct(F.filter(F.concat(forward, backward), lambda w: w.isNotNull()))).alias("w"))
+    windows = materialize(found.select("key", "text_hash", "w.first", "w.last", "w.content", F.col("w.mark.h").alias("mark"), F.col("w.mark.no").alias("at")), "windows")
+
+    selected = windows.select("mark", "key", "text_hash", "at").distinct()
     often = selected.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    anchored = materialize(windows.join(often.hint("merge"), "mark", "left_semi").drop("mark", "forward").distinct(), "anchored")
+    anchored = materialize(windows.join(often.hint("merge"), "mark", "left_semi").drop("mark", "at"), "anchored")
 
     place = F.struct("key", "first", "text_hash")
     firsts = anchored.groupBy("content").agg(F.min(place).alias("start"), F.max(place).alias("end")).where("start < end").select("content", "start")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import bpe, jaccard, langid, lines, mixing, quality, simhash, suffixes, tokenfile, topk
 from quillmark.llm.base import read
+from quillmark.llm.oracles import ORACLES  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -74,5 +75,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": jaccard_join,
     "op10_language_id": language_id,
 }
-
-ORACLES: dict[str, str] = {}
