@@ -23,8 +23,11 @@ COUNTED = 0.3
 MORE_ORDERS = (1, 2)
 #: Hashes that one task gathers before it passes them on, and about how many one reducing task gets.
 CHUNK = 1_000_000
-#: Texts whose sets a task remembers while it verifies pairs that are sorted by the first document.
-REMEMBERED = 64
+#: Shingles of the sets that a task remembers while it verifies pairs.
+REMEMBERED = 1_000_000
+#: Nodes of one shingle up to which their pairs are listed; beyond, blocks of BLOCK nodes meet block by block.
+PAIRED = 48
+BLOCK = 256
 
 
 def _counted(percent_buckets: int):
@@ -165,25 +168,33 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["token", "node", "n", "center", "center_n"])
 
 
-def _verified(common, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.value
-        memory: dict[int, tuple] = {}
+class _Sets:
+    """Shingle sets of nodes and their first shingles in the further orders, remembered up to a number of shingles."""
 
-        def prepared(node: int, text: str) -> tuple:
-            found = memory.get(node)
-            if found is None:
-                s = shingle_set(text)
-                found = (s, [np.sort(ordered_prefix(s, known, k, percent)) for k in MORE_ORDERS])
-                if len(memory) >= REMEMBERED:
-                    memory.pop(next(iter(memory)))
-                memory[node] = found
-            return found
+    def __init__(self, common: np.ndarray, percent: int) -> None:
+        self.common, self.percent = common, percent
+        self.memory: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
+        self.held = 0
 
+    def of(self, node: int, text: str) -> tuple[np.ndarray, list[np.ndarray]]:
+        found = self.memory.get(node)
+        if found is None:
+            s = shingle_set(text)
+            found = (s, [np.sort(ordered_prefix(s, self.common, k, self.percent)) for k in MORE_ORDERS])
+            while self.memory and self.held + len(s) > REMEMBERED:
+                self.held -= len(self.memory.pop(next(iter(self.memory)))[0])
+            self.memory[node] = found
+            self.held += len(s)
+        return found
+
+
+def _verified(common, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets(common.value, percent)
         for batch in batches:
             keep = []
             for a, b, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                (sa, firsts_a), (sb, firsts_b) = prepared(a, text_a), prepared(b, text_b)
+                (sa, firsts_a), (sb, firsts_b) = sets.of(a, text_a), sets.of(b, text_b)
                 passes = all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(firsts_a, firsts_b, strict=True))
                 keep.append(passes and similar(sa, sb, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -191,6 +202,60 @@ def _verified(common, percent: int):
     return run
 
 
+def _common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set on the left shares with each on the right, by products of 0/1 tables of some columns."""
+    every = np.concatenate([*left, *right]) if left or right else np.empty(0, np.uint64)
+    names, column, times = np.unique(every, return_inverse=True, return_counts=True)
+    column = np.where(times[column] > 1, np.cumsum(times > 1)[column] - 1, -1)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in [*left, *right]])
+    owner, column = owner[column >= 0], column[column >= 0]
+    out = np.zeros((len(left), len(right)), np.float32)
+    step = 8192
+    for start in range(0, int(column.max(initial=-1)) + 1, step):
+        inside = (column >= start) & (column < start + step)
+        table = np.zeros((len(left) + len(right), step), np.float32)
+        table[owner[inside], column[inside] - start] = 1.0
+        out += table[: len(left)] @ table[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _block_links(common, percent: int):
+    """Links between two blocks of nodes that share a shingle; only so many as join what they link."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        sets = _Sets(common.value, percent)
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("node", "c", "block", "text")), strict=True))
+        low, high = key[1].as_py(), key[2].as_py()
+        left = [r for r in rows if r[2] == low]
+        right = left if low == high else [r for r in rows if r[2] == high]
+        both = [[sets.of(r[0], r[3]) for r in side] for side in (left, right)]
+        node = [np.array([r[0] for r in side], np.int64) for side in (left, right)]
+        label = [np.array([r[1] for r in side], np.int64) for side in (left, right)]
+        alive = label[0][:, None] != label[1][None, :]
+        for k in range(len(MORE_ORDERS)):
+            alive &= _common_counts([x[1][k] for x in both[0]], [x[1][k] for x in both[1]]) > 0
+        i, j = (np.flatnonzero(alive.any(axis=axis)) for axis in (1, 0))
+        shared = _common_counts([both[0][x][0] for x in i], [both[1][x][0] for x in j])
+        sizes = [np.array([len(both[side][x][0]) for x in picked], np.int64) for side, picked in ((0, i), (1, j))]
+        linked = alive[np.ix_(i, j)] & (100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared))
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for x, y in zip(*np.nonzero(linked), strict=True):
+            a, b = int(node[0][i[x]]), int(node[1][j[y]])
+            if root(a) != root(b):
+                parent[root(b)] = root(a)
+                out.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
 def _long_enough(x: Column, y: Column, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
@@ -207,9 +272,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, key: str = "doc_
     Two rounds, no pairs of a whole group: first each node is tried against one
     chosen node of every shingle it shares (a star, one pair a row), and what is
     linked becomes a component.  Then the nodes of one shingle that are still in
-    different components are tried against each other.  So every two linked
-    nodes end in one component, and a large group of near copies costs about
-    one comparison a member.
+    different components are tried against each other: pair by pair where they
+    are few, else block by block, where a task gets two blocks of at most about
+    BLOCK nodes, filters and compares them by products of 0/1 tables and
+    passes on the links that join something.  So every two linked nodes end in
+    one component, a large group of near copies costs about one comparison a
+    member, and no row is written for a pair that is not similar.
 
     Null text or no words: ``n_shingles`` 0, its own component.  Fewer than five
     words: one shingle.  Repeated rows get equal results; rows that share the key
@@ -230,12 +298,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, key: str = "doc_
     met = materialize(tokens.mapInArrow(_runs, "token long, node long, n long, center long, center_n long"), "met")
     classes = marked.groupBy("node").agg(F.min("id").alias("id"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node"), "wanted")
-        # the node of a row is looked up anew, as ids may repeat
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """One text of every wanted node; the node of a row is looked up anew, as ids may repeat."""
+        wanted = materialize(wanted.distinct().join(classes, "node"), "wanted")
         texts = source.join(small(wanted.select(F.col("id").alias("wanted_id")).distinct()), F.col("id").eqNullSafe(F.col("wanted_id")))
         texts = texts.join(wanted, texts.id.eqNullSafe(wanted.id)).select("node", "text")
-        texts = materialize(texts.mapInArrow(_own_text, "node long, text string").groupBy("node").agg(F.min("text").alias("text")), "texts")
+        return materialize(texts.mapInArrow(_own_text, "node long, text string").groupBy("node").agg(F.min("text").alias("text")), "texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(common, percent), "a long, b long"), "links")
@@ -246,15 +317,26 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, key: str = "doc_
     labels = components(links, "a", "b")
 
     placed = met.join(labels, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
-    open_tokens = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    rest = materialize(placed.join(open_tokens, "token", "left_semi"), "rest")
-    other = rest.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    pairs = rest.join(other, "token").where((F.col("c") != F.col("c_b")) & (F.col("node") < F.col("b")) & _long_enough(F.col("n"), F.col("n_b"), percent))
+    open_tokens = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"))
+    open_tokens = open_tokens.where("low < high").select("token", "m")
+    rest = materialize(placed.join(open_tokens, "token"), "rest")
+    few = rest.where(F.col("m") <= PAIRED)
+    other = few.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
+    pairs = few.join(other, "token").where((F.col("c") != F.col("c_b")) & (F.col("node") < F.col("b")) & _long_enough(F.col("n"), F.col("n_b"), percent))
     pairs = materialize(pairs.select(F.col("node").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        more = verify(pairs)
-        if not more.isEmpty():
-            labels = components(links.union(more), "a", "b")
+    more = [verify(pairs)] if not pairs.isEmpty() else []
+    many = rest.where(F.col("m") > PAIRED)
+    if not many.isEmpty():
+        count = F.ceil(F.col("m") / BLOCK).cast("int")
+        dealt = many.withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), count - 1)))
+        dealt = dealt.select("token", "node", "c", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+        dealt = dealt.join(texts_of(many.select("node")), "node")
+        met_in_blocks = dealt.groupBy("token", "low", "high").applyInArrow(_block_links(common, percent), "a long, b long")
+        more.append(materialize(met_in_blocks, "links"))
+    for found in more:
+        links = links.union(found)
+    if any(not found.isEmpty() for found in more):
+        labels = components(links, "a", "b")
 
     named = classes.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = named.groupBy("c").agg(F.min("id").alias("component_id"))

@@ -310,11 +310,12 @@ def test_components_match_all_pairs(docs, rows):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == H.components(rows)
 
 
-@pytest.mark.parametrize("common", [2, 12])
-def test_components_of_a_large_near_copy_group(spark, monkeypatch, common):
+@pytest.mark.parametrize(("common", "paired", "block"), [(2, 1, 7), (12, 1, 500), (12, 48, 256)])
+def test_components_of_a_large_near_copy_group(spark, monkeypatch, common, paired, block):
     import random
 
-    monkeypatch.setattr(jaccard, "COMMON", common)
+    for name, value in (("COMMON", common), ("PAIRED", paired), ("BLOCK", block)):
+        monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(common)
     stem = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     data = []
