@@ -18,8 +18,8 @@ LENGTH = 100
 #: Bytes of an anchor; every string of LENGTH bytes holds the anchor with the least hash in it.
 ANCHOR = 24
 WINDOW = LENGTH - ANCHOR + 1
-#: One of the two sides of an anchor has so many bytes in any string around it.
-SIDE = (LENGTH - ANCHOR) // 2
+#: Strings around an anchor by the bytes they have before it: what all strings of a range have in common is its core.
+RANGES = ((0, 18), (19, 37), (38, 56), (57, LENGTH - ANCHOR))
 #: Difference cover modulo 3: suffixes at these residues are sampled; any two residues meet in it after a common shift below 3.
 COVER = (1, 2)
 #: Sampled suffixes are sorted by this many bytes, so that with a shift below 3 they still lie within LENGTH.
@@ -75,15 +75,15 @@ def contexts(raw: np.ndarray) -> dict[str, np.ndarray]:
 
     ``anchor``: hash of the anchor's bytes; ``context``: hash of the bytes that
     the strings choosing this anchor cover; ``first``, ``last``: where those
-    strings start; ``left``, ``right``: short hashes of SIDE bytes on either
-    side (0 beyond the text).
+    strings start; ``lead``: bytes from the first start to the anchor; ``cores``:
+    for each of RANGES that has such a string, a 16-bit hash of its core (else 0).
     """
     parts: list[tuple[np.ndarray, ...]] = []
     strings = len(raw) - LENGTH + 1
     for at in range(0, max(strings, 0), PIECE):
         n = min(PIECE, strings - at)
         low = max(0, at - LENGTH)
-        piece = raw[low : at + n + LENGTH - 1 + SIDE]
+        piece = raw[low : at + n + LENGTH - 1]
         hashed = Hashed(piece)
         shift = at - low
         starts = np.arange(shift, shift + n + WINDOW - 1)
@@ -94,12 +94,14 @@ def contexts(raw: np.ndarray) -> dict[str, np.ndarray]:
         heads = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
         tails = np.concatenate([heads[1:] - 1, [n - 1]])
         a = chosen[heads] + shift
-        before, after = a - SIDE, a + ANCHOR + SIDE
-        left = np.where(before >= 0, (hashed.of(np.maximum(before, 0), a) >> np.uint64(48)) | np.uint64(1), np.uint64(0))
-        right = np.where(after <= len(piece), (hashed.of(a + ANCHOR, np.minimum(after, len(piece))) >> np.uint64(48)) | np.uint64(1), np.uint64(0))
+        cores = np.zeros(len(a), np.uint64)
+        for k, (fewest, most) in enumerate(RANGES):
+            active = (a - heads - shift >= fewest) & (a - tails - shift <= most)
+            core = hashed.of(np.where(active, a - fewest, 0), np.where(active, a - most + LENGTH, 0)) >> np.uint64(48) | np.uint64(1)
+            cores |= np.where(active, core, np.uint64(0)) << np.uint64(16 * k)
         whole = hashed.of(heads + shift, tails + shift + LENGTH) + (tails - 2 * heads + a - shift).astype(np.uint64) * np.uint64(_BASE)
-        parts.append((g[chosen[heads]], whole, heads + at, tails + at, left, right))
-    names = ("anchor", "context", "first", "last", "left", "right")
+        parts.append((g[chosen[heads]], whole, heads + at, tails + at, a - heads - shift, cores))
+    names = ("anchor", "context", "first", "last", "lead", "cores")
     if not parts:
         return {k: np.empty(0, np.int64) for k in names}
     return {k: np.concatenate(c).view(np.int64) for k, c in zip(names, zip(*parts, strict=True), strict=True)}
@@ -115,7 +117,8 @@ def _later(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return out
 
 
-_ANCHORS = "anchor long, context long, doc long, first long, last long, left int, right int, copy boolean"
+_ROW = ("anchor", "context", "doc", "first", "last", "lead", "cores")
+_ANCHORS = ", ".join(f"{name} long" for name in _ROW) + ", copy boolean"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +129,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
         copy = _later(np.lexsort((c["first"], c["doc"], c["context"], c["anchor"])), c["anchor"], c["context"])
-        types = {"left": pa.int32(), "right": pa.int32()}
-        arrays = [pa.array(c[k].astype(np.int32) if k in types else c[k], types.get(k, pa.int64())) for k in ("anchor", "context", "doc", "first", "last", "left", "right")]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(copy)], names=["anchor", "context", "doc", "first", "last", "left", "right", "copy"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c[k]) for k in _ROW), pa.array(copy)], names=[*_ROW, "copy"])
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -143,37 +144,37 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-_SPLIT = "doc long, first long, last long, anchor long, left int, right int"
+_SPLIT = "doc long, first long, last long, anchor long, lead long, cores long"
 
 
 def _copies_and_rivals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by anchor, context and place.
+    """Contexts sorted by anchor, context and place, with those that are known as copies behind them.
 
-    Later copies of a whole context come out with a null anchor.  First
-    occurrences come out with their anchor if it has another context too.  Only
-    the last row is carried from one batch to the next.
+    Copies of a whole context come out with a null anchor.  First occurrences
+    come out with their anchor if it has another context too.  Only the last
+    row is carried from one batch to the next.
     """
-    names = ("anchor", "context", "doc", "first", "last", "left", "right")
     carried: dict[str, np.ndarray] | None = None
     told = False  # the carried row has come out already
 
     def out(rows: dict[str, np.ndarray], copy: np.ndarray, rival: np.ndarray) -> pa.RecordBatch:
         take = np.concatenate([np.flatnonzero(copy), np.flatnonzero(rival)])
         is_copy = np.arange(len(take)) < copy.sum()
-        return pa.RecordBatch.from_arrays(
-            [
-                *(pa.array(rows[k][take], pa.int64()) for k in ("doc", "first", "last")), pa.array(rows["anchor"][take], pa.int64(), mask=is_copy),
-                pa.array(rows["left"][take], pa.int32()), pa.array(rows["right"][take], pa.int32()),
-            ],
-            names=["doc", "first", "last", "anchor", "left", "right"],
-        )
+        names = ("doc", "first", "last", "anchor", "lead", "cores")
+        return pa.RecordBatch.from_arrays([pa.array(rows[k][take], pa.int64(), mask=is_copy if k == "anchor" else None) for k in names], names=list(names))
 
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        rows = {k: batch.column(i).to_numpy() for i, k in enumerate(names)}
+        known = batch.column(len(_ROW)).to_numpy(zero_copy_only=False)
+        rows = {k: batch.column(i).to_numpy() for i, k in enumerate(_ROW)}
+        if known.any():
+            yield out(rows, known, np.zeros(len(known), bool))
+            rows = {k: v[~known] for k, v in rows.items()}
+            if known.all():
+                continue
         if carried is not None:
-            rows = {k: np.concatenate([carried[k], rows[k]]) for k in names}
+            rows = {k: np.concatenate([carried[k], rows[k]]) for k in _ROW}
         n = len(rows["anchor"])
         same_anchor = rows["anchor"][1:] == rows["anchor"][:-1]
         copy = np.zeros(n, bool)
@@ -191,7 +192,7 @@ def _copies_and_rivals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             copy[0] = False
             rival[0] &= not told
         yield out(rows, copy, rival)
-        carried = {k: rows[k][last_first : last_first + 1] for k in names}
+        carried = {k: rows[k][last_first : last_first + 1] for k in _ROW}
         told = open_told
 
 
@@ -350,7 +351,8 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     1. Narrow down.  A string of LENGTH bytes chooses the anchor of least hash in
        it, so equal strings choose equal anchors.  Strings whose anchor occurs
        once can't repeat.  If everything that one anchor's strings cover occurs
-       earlier as a whole, they all repeat.
+       earlier as a whole, they all repeat.  Other strings around the anchor can
+       only be equal if they share the core of their range, most of their bytes.
     2. What is left in doubt is suffix sorted with the difference cover {1, 2}
        modulo 3: suffixes at sampled places are sorted by SORTED bytes (a triple
        of letters of a third of that; letters this wide end the recursion on
@@ -361,19 +363,25 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     Copies of a context, and of a string, within one task are settled there, so
     no common passage sends more than one row a task to any group.
     """
-    cut = materialize(docs.select("doc", "text").mapInArrow(_anchors, _ANCHORS), "anchors")
-    near = cut.where("copy").select("doc", "first", "last")
-    far = cut.where("not copy").select("anchor", "context", "doc", "first", "last", "left", "right")
-    far = far.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "first")
-    split = materialize(far.mapInArrow(_copies_and_rivals, _SPLIT), "split")
-    whole = near.unionByName(split.where("anchor is null").select("doc", "first", "last"))
-
-    rivals = split.where("anchor is not null")
-    doubt = []
-    for side in ("left", "right"):
-        several = rivals.where(F.col(side) != 0).groupBy("anchor", side).agg(F.count("*").alias("n")).where("n > 1").select("anchor", side)
-        doubt.append(rivals.join(several.hint("merge"), ["anchor", side], "left_semi").select("doc", "first", "last"))
-    spots = doubt[0].unionByName(doubt[1]).distinct().groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("x"))
+    cut = docs.select("doc", "text").mapInArrow(_anchors, _ANCHORS)
+    dealt = cut.repartition(F.when(F.col("copy"), F.xxhash64("doc", "first")).otherwise(F.col("anchor")))
+    ordered = dealt.sortWithinPartitions("copy", "anchor", "context", "doc", "first")
+    split = materialize(ordered.mapInArrow(_copies_and_rivals, _SPLIT), "split")
+    whole = split.where("anchor is null").select("doc", "first", "last")
+
+    # strings of two contexts can only be equal in a range whose core they share
+    at = F.col("first") + F.col("lead")
+    ranges = F.array(*[
+        F.struct(
+            F.xxhash64("anchor", F.lit(k), F.shiftrightunsigned("cores", 16 * k).bitwiseAND(0xFFFF)).alias("core"),
+            F.greatest(F.col("first"), at - most).alias("start"), F.least(F.col("last"), at - fewest).alias("end"),
+        )
+        for k, (fewest, most) in enumerate(RANGES)
+    ])
+    rivals = split.where("anchor is not null").select("doc", F.inline(ranges)).where("start <= end")
+    several = rivals.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    doubt = rivals.join(several.hint("merge"), "core", "left_semi").select("doc", F.col("start").alias("first"), F.col("end").alias("last"))
+    spots = doubt.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("x"))
     spots = materialize(spots.select(F.col("doc").alias("d"), F.col("x.first").alias("firsts"), F.col("x.last").alias("lasts")), "doubt")
 
     texts = docs.join(_light(spots), docs.doc == F.col("d")).select("doc", "text", "firsts", "lasts")

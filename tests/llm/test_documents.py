@@ -106,9 +106,8 @@ def test_sorted_runs_survive_batch_borders():
     n = 300
     rows = {k: rng.integers(0, m, n) for k, m in (("anchor", 6), ("context", 5), ("doc", 9), ("first", 50))}
     order = np.lexsort((rows["first"], rows["doc"], rows["context"], rows["anchor"]))
-    rows = {k: v[order] for k, v in rows.items()} | {"last": np.arange(n), "left": np.ones(n, int), "right": np.ones(n, int)}
-    types = [pa.int64()] * 5 + [pa.int32()] * 2
-    batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
+    rows = {k: v[order] for k, v in rows.items()} | {"last": np.arange(n), "lead": np.ones(n, int), "cores": np.ones(n, int)}
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, rows.values()), pa.array(np.arange(n) >= n - 40)], names=[*rows, "copy"])
 
     def result(cuts):
         parts = [batch.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
