@@ -270,11 +270,14 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon) -> None:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.memory) + len(words) > REMEMBERED_WORDS:
-            self.memory.clear()
+            self.memory, self.older = {}, self.memory
         new = [w for w in words if w not in self.memory]
+        self.memory.update((w, self.older[w]) for w in new if w in self.older)
+        new = [w for w in new if w not in self.older]
         raw = [w.encode("utf-8") for w in new]
         ids, starts = self.lexicon.ids, self.lexicon.starts
         for word, letters, k in zip(new, raw, self.lexicon.look_up(raw).tolist(), strict=True):
@@ -286,7 +289,10 @@ class Encoder:
         end = np.array([self.vocabulary.end], np.int32).tobytes()
         out: list[bytes] = []
         cut = [[(split(p), False) if not special else ([], True) for p, special in _pieces(t)] for t in texts]
-        self.learn({w for parts in cut for words, _ in parts for w in words})
+        distinct: set[str] = set()
+        for parts in cut:
+            distinct.update(*(words for words, _ in parts))
+        self.learn(distinct)
         for parts in cut:
             known = self.memory.__getitem__
             out.append(b"".join(end if special else b"".join(map(known, words)) for words, special in parts))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillmark.llm.base import key_runs, materialize, scratch, small_batches, whole_text
-from quillmark.llm.bpe import CHUNK_CHARS, REMEMBERED_WORDS
+from quillmark.llm.bpe import CHUNK_CHARS, byte_letters
 from quillmark.llm.pretoken import END_OF_TEXT, split
 
 #: Id behind each document.
@@ -21,6 +22,8 @@ END_ID = 2
 RUN_ROWS = 1_000
 MOST_RUNS = 4096
 BLOCK_IDS = 1 << 18
+#: Words a task remembers; twice as many while the older half is fading.
+REMEMBERED_WORDS = 200_000
 
 #: Lengths (1 to 4 bytes) of the four values that a control byte stands for, two bits each from the lowest on.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
@@ -35,7 +38,8 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     if len(values) == 0:
         return b"", b""
     extra = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
+    width = int(extra.max()) + 1
+    data = values.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width, dtype=np.uint8) <= extra[:, None]]
     fours = np.zeros((len(values) + 3) // 4 * 4, np.uint8)
     fours[: len(values)] = extra
     fours = fours.reshape(-1, 4)
@@ -60,28 +64,44 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 # ---- encoding -----------------------------------------------------------------------------------------------------
 
 
+class _Memory(dict):
+    """Ids of words; asks the library about a word that is not there."""
+
+    def __init__(self, older: dict[str, bytes], tokenize: Callable) -> None:
+        super().__init__()
+        self.older, self.tokenize = older, tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            ids = [t.id for t in self.tokenize(word.encode("utf-8").decode("latin-1").translate(_SPELLING))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = found
+        return found
+
+
+_SPELLING = {b: letter for letter, b in byte_letters().items()}
+
+
 class LibraryEncoder:
-    """Ids by the tokenizers library, which sees each distinct piece of text once a task."""
+    """Ids by the tokenizers library, whose model sees each distinct piece of text about once a task.
+
+    Merges never cross pieces, so pieces may be encoded one by one; bytes are
+    spelled in the vocabulary's letters first, as the library's splitter does.
+    """
 
     def __init__(self, vocabulary: str) -> None:
         self.library = Tokenizer.from_str(vocabulary)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.memory: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.memory) + len(words) > REMEMBERED_WORDS:
-            self.memory.clear()
-        new = [w for w in words if w not in self.memory]
-        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memory[word] = np.array(found.ids, "<u4").tobytes()
+        self.end = np.array([self.library.token_to_id(END_OF_TEXT)], "<u4").tobytes()
+        self.memory = _Memory({}, self.library.model.tokenize)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids; merges never cross the pieces, so pieces may be encoded one by one."""
-        cut = [[split(part) for part in t.split(END_OF_TEXT)] for t in texts]
-        self._learn({w for parts in cut for words in parts for w in words} | {END_OF_TEXT})
-        known, end = self.memory.__getitem__, self.memory[END_OF_TEXT]
-        return [end.join([b"".join(map(known, words)) for words in parts]) for parts in cut]
+        """Little-endian 32-bit ids of each text; words not met for long are forgotten."""
+        if len(self.memory) > REMEMBERED_WORDS:
+            self.memory.older.clear()
+            self.memory = _Memory(dict(self.memory), self.library.model.tokenize)
+        ids = self.memory.__getitem__
+        return [self.end.join([b"".join(map(ids, split(part))) for part in t.split(END_OF_TEXT)]) for t in texts]
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
