@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -309,9 +309,9 @@ def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: bytes | None = None
     seen: set[int] = set()
     for batch in batches:
-        found = batch.filter(pa.compute.is_null(batch.column(1)))
+        found = batch.filter(pc.is_null(batch.column(1)))
         docs, firsts, ends = [found.column(2).to_numpy()], [found.column(3).to_numpy()], [found.column(5).to_numpy()]
-        rows = batch.filter(pa.compute.is_valid(batch.column(1)))
+        rows = batch.filter(pc.is_valid(batch.column(1)))
         if rows.num_rows:
             start = np.frombuffer(rows.column(1).buffers()[1], np.int32)[rows.column(1).offset : rows.column(1).offset + rows.num_rows + 1]
             body = np.frombuffer(rows.column(1).buffers()[2], np.uint8)[start[0] : start[-1]].reshape(-1, SORTED)

@@ -32,35 +32,55 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.in
 # ---- the code -----------------------------------------------------------------------------------------------------
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of unsigned 32-bit values; each value takes as many bytes as it needs."""
-    values = np.ascontiguousarray(values, "<u4")
-    if len(values) == 0:
-        return b"", b""
+def pack_all(values: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Control bytes and data bytes of each of several runs of unsigned 32-bit values, ``counts`` values each.
+
+    Each value takes as many bytes as it needs; the control bytes of a run are
+    filled up with zeros.
+    """
+    values, counts = np.ascontiguousarray(values, "<u4"), np.asarray(counts, np.int64)
     extra = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    width = int(extra.max()) + 1
-    data = values.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width, dtype=np.uint8) <= extra[:, None]]
-    fours = np.zeros((len(values) + 3) // 4 * 4, np.uint8)
-    fours[: len(values)] = extra
-    fours = fours.reshape(-1, 4)
-    control = fours[:, 0] | fours[:, 1] << 2 | fours[:, 2] << 4 | fours[:, 3] << 6
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    width = int(extra.max(initial=0)) + 1
+    data = values.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width, dtype=np.uint8) <= extra[:, None]].tobytes()
+    fours = (counts + 3) // 4
+    ends = np.cumsum(counts)
+    at = np.concatenate([[0], np.cumsum(fours)])
+    padded = np.zeros(int(at[-1]) * 4, np.uint8)
+    padded[np.arange(len(values)) + np.repeat(at[:-1] * 4 - (ends - counts), counts)] = extra
+    padded = padded.reshape(-1, 4)
+    control = (padded[:, 0] | padded[:, 1] << 2 | padded[:, 2] << 4 | padded[:, 3] << 6).astype(np.uint8).tobytes()
+    bytes_upto = np.concatenate([[0], np.cumsum(extra, dtype=np.int64) + np.arange(1, len(extra) + 1)])
+    edges = bytes_upto[np.concatenate([[0], ends])].tolist()
+    at = at.tolist()
+    return [(control[at[k] : at[k + 1]], data[edges[k] : edges[k + 1]]) for k in range(len(counts))]
 
 
-def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` values: a table look-up turns control bytes into lengths, their running sum into places."""
-    lengths = LENGTHS[control].ravel()[:n]
+def pack(values: np.ndarray) -> tuple[bytes, bytes]:
+    return pack_all(values, np.array([len(values)]))[0]
+
+
+def unpack_all(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All values of several runs: a table look-up turns control bytes into lengths, their running sum into places."""
+    counts = np.asarray(counts, np.int64)
+    fours = (counts + 3) // 4 * 4
+    lengths = LENGTHS[control].ravel()
+    inside = np.arange(len(lengths)) - np.repeat(np.cumsum(fours) - fours, fours)
+    lengths = lengths[inside < np.repeat(counts, fours)]
     places = np.cumsum(lengths) - lengths
     padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
     values = padded[places]
     for k in range(1, 4):
-        more = lengths > k
-        if not more.any():
+        more = np.flatnonzero(lengths > k)
+        if len(more) == 0:
             break
         values[more] |= padded[places[more] + k] << np.uint32(8 * k)
     return values
 
 
+def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
+    return unpack_all(control, data, np.array([n]))
+
+
 # ---- encoding -----------------------------------------------------------------------------------------------------
 
 
@@ -160,7 +180,9 @@ def _packed(shared):
         rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
         rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
         for batch in batches:
-            both = [pack(rank[_ids_of(x, n)]) for n, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            counts = batch.column(2).to_numpy()
+            parts = [_ids_of(x, n) for n, x in zip(counts.tolist(), batch.column(3).to_pylist(), strict=True)]
+            both = pack_all(rank[np.concatenate(parts)], counts) if parts else []
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())],
                 names=["id", "run", "n", "control", "data"],
@@ -253,16 +275,9 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
             for start, ids, lengths, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = np.asarray(lengths, np.int64)
                 control, data = np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8)
-                # a document's control bytes are padded to whole ones; padding counts as values without data
-                fours = (n + 3) // 4
-                at = np.concatenate([[0], np.cumsum(fours)])
-                sizes = LENGTHS[control].ravel()
-                real = (np.arange(len(sizes)) - np.repeat(at[:-1] * 4, fours * 4)) < np.repeat(n, fours * 4)
-                ends = np.concatenate([[0], np.cumsum(np.where(real, sizes, 0))])
-                texts = [
-                    by_rank[unpack(control[a:b], data[ends[a * 4] : ends[b * 4]], m)].astype("<u4").tobytes()
-                    for a, b, m in zip(at[:-1].tolist(), at[1:].tolist(), n.tolist(), strict=True)
-                ]
+                tokens = by_rank[unpack_all(control, data, n)].astype("<u4").tobytes()
+                ends = (np.cumsum(n) * 4).tolist()
+                texts = [tokens[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, _arrow(id_type)), pa.array(start + np.cumsum(n) - n, pa.int64()), pa.array(n, pa.int64()), pa.array(texts, pa.binary())],
                     names=["id", "start", "n_tokens", "ids"],
