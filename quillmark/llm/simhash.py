@@ -35,23 +35,24 @@ def term_hashes(text: Column) -> Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], terms: str = "terms") -> DataFrame:
-    """``<keys>, fingerprint`` (64-bit long): bit b is set if the terms with bit b outweigh those without.
+    """``<keys>, times, fingerprint`` (64-bit long): bit b is set if the terms with bit b outweigh those without.
 
     A term weighs as much as it occurs.  Votes are summed two bits at a time: a
     hash shifted by b and masked to bits 0 and 32 adds to two counters in one
     long, so 32 sums hold all 64 counts (texts of up to 2^31 terms).  Partial
     sums leave a task as one row a document.  No terms: fingerprint 0; ties
-    leave the bit unset.
+    leave the bit unset.  Rows of equal keys add up, and ``times`` counts them.
     """
     pairs = [F.sum(F.shiftrightunsigned(F.col("h"), b).bitwiseAND(0x100000001)).alias(f"v{b}") for b in range(BITS // 2)]
-    votes = texts.select(*keys, F.explode_outer(terms).alias("h")).groupBy(*keys).agg(F.count("h").alias("n"), *pairs)
+    votes = texts.select(*keys, F.posexplode_outer(terms).alias("pos", "h")).groupBy(*keys).agg(
+        F.count("h").alias("n"), F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("times"), *pairs)
     bit = F.lit(0).cast("long")
     for b in range(BITS // 2):
         low, high = F.col(f"v{b}").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(F.col(f"v{b}"), 32)
         bit = bit.bitwiseOR(F.when(low * 2 > F.col("n"), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")))
         top = 1 << (b + 32)
         bit = bit.bitwiseOR(F.when(high * 2 > F.col("n"), F.lit(top - (1 << 64) if top >= 1 << 63 else top).cast("long")).otherwise(F.lit(0).cast("long")))
-    return votes.select(*keys, bit.alias("fingerprint"))
+    return votes.select(*keys, "times", bit.alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -101,27 +102,24 @@ def edit_check(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     bit.  Extra columns are ignored; an empty table gives no rows.
     """
     paired = with_next_text(docs, key, text).withColumnRenamed(key, "key")
-    facts = paired.select(
-        "key", F.xxhash64("text").alias("own"), F.xxhash64("next_text").alias("next"), F.length("text").cast("long").alias("n_chars"),
-        "text", edited_text(F.col("text"), F.col("next_text")).alias("edited"),
-    )
+    edited = paired.select("key", F.xxhash64("text").alias("own"), F.xxhash64("next_text").alias("next"), "text", edited_text(F.col("text"), F.col("next_text")).alias("edited"))
     kinds = F.array(
         F.struct(F.lit(0).alias("kind"), term_hashes(F.col("text")).alias("terms")),
         F.struct(F.lit(1).alias("kind"), term_hashes(F.col("edited")).alias("terms")),
     )
-    prints = fingerprints(facts.select("key", "own", "next", F.inline(kinds)), ["key", "own", "next", "kind"])
+    facts = ["key", "own", "next", "n_chars", "edited_sha256"]
+    rows = edited.select("key", "own", "next", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.inline(kinds))
+    prints = fingerprints(rows, [*facts, "kind"])
     prints = materialize(
-        prints.groupBy("key", "own", "next").agg(
+        prints.groupBy(*facts).agg(
+            F.max("times").alias("times"),
             F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("fingerprint"),
             F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
         ),
         "prints",
     )
     known = prints.groupBy(F.col("own").alias("of")).agg(F.max("fingerprint").alias("next_fingerprint"))
-    prints = prints.join(known.hint("merge"), F.col("next") == F.col("of"))
-    digests = facts.select("key", "own", "next", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    prints = prints.select(F.col("key").alias("k"), F.col("own").alias("o"), F.col("next").alias("x"), "fingerprint", "edited_fingerprint", "next_fingerprint")
-    out = digests.join(prints, F.col("key").eqNullSafe(F.col("k")) & (F.col("own") == F.col("o")) & (F.col("next") == F.col("x")))
+    out = prints.join(known.hint("merge"), F.col("next") == F.col("of")).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return out.select(
         F.col("key").alias(key), "n_chars", "edited_sha256", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
         F.lpad(F.lower(F.hex("edited_fingerprint")), 16, "0").alias("edited_fingerprint"),
