@@ -25,8 +25,8 @@ MORE_ORDERS = (1, 2)
 CHUNK = 1_000_000
 #: Shingles of the sets that a task remembers while it verifies pairs.
 REMEMBERED = 1_000_000
-#: Nodes of one shingle up to which their pairs are listed; beyond, blocks of BLOCK nodes meet block by block.
-PAIRED = 48
+#: Open pairs for each node of a shingle up to which they are listed; beyond, blocks of BLOCK nodes meet block by block.
+PAIRED = 32
 BLOCK = 256
 
 
@@ -317,15 +317,17 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, key: str = "doc_
     labels = components(links, "a", "b")
 
     placed = met.join(labels, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
-    open_tokens = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"))
-    open_tokens = open_tokens.where("low < high").select("token", "m")
+    parts = placed.groupBy("token", "c").agg(F.count("*").alias("k"))
+    open_tokens = parts.groupBy("token").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("parts"))
+    # pairs of different components against nodes: listing them is linear where a few nodes face one large component
+    open_tokens = open_tokens.where("parts > 1").select("token", "m", ((F.col("m") * F.col("m") - F.col("same")) <= F.col("m") * (2 * PAIRED)).alias("few"))
     rest = materialize(placed.join(open_tokens, "token"), "rest")
-    few = rest.where(F.col("m") <= PAIRED)
+    few = rest.where("few")
     other = few.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
     pairs = few.join(other, "token").where((F.col("c") != F.col("c_b")) & (F.col("node") < F.col("b")) & _long_enough(F.col("n"), F.col("n_b"), percent))
     pairs = materialize(pairs.select(F.col("node").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     more = [verify(pairs)] if not pairs.isEmpty() else []
-    many = rest.where(F.col("m") > PAIRED)
+    many = rest.where("not few")
     if not many.isEmpty():
         count = F.ceil(F.col("m") / BLOCK).cast("int")
         dealt = many.withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), count - 1)))

@@ -309,7 +309,7 @@ def test_components_match_all_pairs(docs, rows):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == H.components(rows)
 
 
-@pytest.mark.parametrize(("common", "paired", "block"), [(2, 1, 7), (12, 1, 500), (12, 48, 256)])
+@pytest.mark.parametrize(("common", "paired", "block"), [(2, 0, 7), (12, 0, 500), (12, 32, 256)])
 def test_components_of_a_large_near_copy_group(spark, monkeypatch, common, paired, block):
     import random
 
