@@ -129,6 +129,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
         copy = _later(np.lexsort((c["first"], c["doc"], c["context"], c["anchor"])), c["anchor"], c["context"])
+        # copies next to each other are one range from here on
+        goes_on = copy[1:] & copy[:-1] & (c["doc"][1:] == c["doc"][:-1]) & (c["first"][1:] == c["last"][:-1] + 1)
+        heads = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+        last = c["last"][np.concatenate([heads[1:] - 1, [len(copy) - 1]])]
+        c, copy = {k: v[heads] for k, v in c.items()} | {"last": last}, copy[heads]
         return pa.RecordBatch.from_arrays([*(pa.array(c[k]) for k in _ROW), pa.array(copy)], names=[*_ROW, "copy"])
 
     for batch in batches:
