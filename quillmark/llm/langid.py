@@ -10,12 +10,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.llm.base import materialize, small, small_batches, whole_text
 
-#: Labelled documents that the text model is fitted on, at most.
+#: Labelled documents that the text model is fitted on, at most, in equal bounds for each language.
 SAMPLE = 4_000
+#: Languages whose counts a task holds before it passes them on.
+HELD = 64
 #: Hashed byte 4-grams of the text model, and its smoothing.
 BINS = 1 << 16
 ADD = 0.5
@@ -64,27 +67,45 @@ class TextModel:
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: dict[str, np.ndarray] = {}
+
+    def flush() -> Iterator[pd.DataFrame]:
+        for lang, counts in total.items():
+            used = np.flatnonzero(counts)
+            yield pd.DataFrame({"lang": lang, "bin": used.astype("int32"), "n": counts[used]})
+        total.clear()
+
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
-            total.setdefault(lang, np.zeros(BINS, np.int64))
+            if lang not in total:
+                if len(total) >= HELD:
+                    yield from flush()
+                total[lang] = np.zeros(BINS, np.int64)
             total[lang] += np.bincount(grams(text), minlength=BINS)
-    for lang, counts in total.items():
-        used = np.flatnonzero(counts)
-        yield pd.DataFrame({"lang": lang, "bin": used.astype("int32"), "n": counts[used]})
+    yield from flush()
 
 
 def fit_text(docs: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang", key: str = "doc_id") -> TextModel:
-    """Fit on at most ``sample`` labelled documents, picked by a hash of the key; null texts and labels are left out.
-
-    Grams are counted by tasks and summed by language and bin; what comes to the
-    driver is the table of the model, BINS numbers a language.
+    """Fit on at most ``sample`` labelled documents, at most the same number of each language (one at least).
+
+    Null texts and labels are left out.  All labelled rows are counted, so every
+    language among them with a gram is in the model, however rare.  The pick
+    follows a hash of key and text, not the partitions: a threshold per language
+    leaves about twice the rows wanted, of which hashes alone are ranked; rows
+    repeated at the last hash all count.  Grams are counted by tasks and summed
+    by language and bin; what comes to the driver is the table of the model,
+    BINS numbers a language.
     """
     small_batches(docs)
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = labelled.count()
-    order = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30))
-    near = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), order.alias("r")).where(F.col("r") <= (1 << 30) * min(1.0, 1.5 * sample / max(n, 1)))
-    picked = near.orderBy("r").limit(sample).select("lang", "text")
+    span = 1 << 40
+    order = F.pmod(F.xxhash64(key, text, F.lit(11)), F.lit(span))
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), order.alias("r"))
+    counted = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("r").alias("least")), "languages")
+    each = max(1, sample // max(counted.count(), 1))
+    near = F.greatest(F.col("least"), (F.least(F.lit(1.0), (2.0 * each + 64.0) / F.col("n")) * span).cast("long"))
+    ranked = labelled.join(small(counted), "lang").where(F.col("r") <= near).select("lang", "r")
+    ranked = ranked.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("r"))).where(F.col("place") <= each)
+    last = materialize(ranked.groupBy("lang").agg(F.max("r").alias("last")), "last")
+    picked = labelled.join(small(last), "lang").where(F.col("r") <= F.col("last")).select("lang", "text")
     table = picked.mapInPandas(_counts, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(table["lang"].unique()))
     counts = np.full((BINS, len(languages)), ADD)

@@ -96,6 +96,19 @@ def test_text_alone_on_held_out_documents(spark):
     assert right >= 0.95 * len(rest)
 
 
+def test_rare_language_is_in_the_model(spark):
+    rng = random.Random(4)
+    docs = [(i, sentence(rng, ("en", "de")[i % 50 == 0], 8), ("en", "de")[i % 50 == 0]) for i in range(10_000)]
+    docs += [(10_000, sentence(rng, "fr", 60), "fr"), (10_001, None, "xx")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    fitted = [langid.fit_text(df.repartition(n), sample=90) for n in (2, 7)]
+    assert fitted[0].languages == ("de", "en", "fr")
+    assert np.array_equal(fitted[0].log_p, fitted[1].log_p)
+    assert langid.fit_text(df, sample=1).languages == ("de", "en", "fr")
+    page = spark.createDataFrame([(1, "https://h.org/", f"<p>{sentence(rng, 'fr', 40)}</p>")], "page_id long, url string, html string")
+    assert langid.identify(page, fitted[0]).first().lang == "fr"
+
+
 def test_evidence_is_fused(spark, model):
     rng = random.Random(2)
     pages = []
