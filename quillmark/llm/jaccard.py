@@ -129,10 +129,10 @@ def _prefixes(common, percent: int):
             flat = np.concatenate(firsts) if firsts else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column(0), batch.column(2), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
                 ],
-                names=["id", "node", "n", "prefix"],
+                names=["id", "text_hash", "node", "n", "prefix"],
             )
 
     return run
@@ -284,26 +284,49 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, key: str = "doc_
     but not the text count as two.  A null key is a key of its own; if it is the
     only one of its component, ``component_id`` is null.  Empty table: no rows.
     """
+    marked, classes = _classes(docs, percent, key, text)
+    least = classes.groupBy("c").agg(F.min("id").alias("component_id"))
+    named = classes.join(least, "c").select(F.col("node").alias("of"), "component_id")
+    out = marked.join(named, marked.node == named.of, "left")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def _text_hash(text: str) -> Column:
+    """Tells rows that share a key apart by their texts."""
+    return F.xxhash64(whole_text(text))
+
+
+def _first_row() -> Column:
+    """The row of the smallest key, then of the smallest text hash; a null key only where there is no other."""
+    return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
+
+
+def _classes(docs: DataFrame, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """All rows ``id, text_hash, node, n, ...``, and one row ``node, id, text_hash, c`` per node that has shingles.
+
+    ``id, text_hash`` is the node's first row and ``c`` its component.
+    """
     small_batches(docs)
-    source = docs.select(F.col(key).alias("id"), whole_text(text).alias("text"))
+    source = docs.select(F.col(key).alias("id"), whole_text(text).alias("text"), _text_hash(text).alias("text_hash"))
     spark = docs.sparkSession
     # at most MOST_COMMON hashes, 8 MB, however large the input
     common = spark.sparkContext.broadcast(common_shingles(source.select("text")))
     id_type = source.schema["id"].dataType.simpleString()
-    marked = materialize(source.mapInArrow(_prefixes(common, percent), f"id {id_type}, node long, n long, prefix array<long>"), "marked")
+    marked = materialize(source.mapInArrow(_prefixes(common, percent), f"id {id_type}, text_hash long, node long, n long, prefix array<long>"), "marked")
     nodes = marked.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "n", "prefix")).alias("x"))
     tokens = nodes.select(F.explode("x.prefix").alias("token"), "node", F.col("x.n").alias("n"))
     # four candidates for the chosen node of a group, by the token's last bits
     tokens = tokens.repartition("token").sortWithinPartitions("token", F.xxhash64("node", F.col("token").bitwiseAND(3)))
     met = materialize(tokens.mapInArrow(_runs, "token long, node long, n long, center long, center_n long"), "met")
-    classes = marked.groupBy("node").agg(F.min("id").alias("id"))
+    classes = marked.where("n > 0").groupBy("node").agg(_first_row().alias("x")).select("node", "x.id", "x.text_hash")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        """One text of every wanted node; the node of a row is looked up anew, as ids may repeat."""
-        wanted = materialize(wanted.distinct().join(classes, "node"), "wanted")
-        texts = source.join(small(wanted.select(F.col("id").alias("wanted_id")).distinct()), F.col("id").eqNullSafe(F.col("wanted_id")))
-        texts = texts.join(wanted, texts.id.eqNullSafe(wanted.id)).select("node", "text")
-        return materialize(texts.mapInArrow(_own_text, "node long, text string").groupBy("node").agg(F.min("text").alias("text")), "texts")
+        """One text of every wanted node: that of its first row, found by key and text hash, as keys may repeat."""
+        wanted = wanted.distinct().join(classes, "node").select("node", F.col("id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"))
+        wanted = small(materialize(wanted, "wanted"))
+        texts = source.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("wanted_hash")))
+        return materialize(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
@@ -340,24 +363,20 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, key: str = "doc_
     if any(not found.isEmpty() for found in more):
         labels = components(links, "a", "b")
 
-    named = classes.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    least = named.groupBy("c").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "c").select(F.col("node").alias("of"), "component_id")
-    out = marked.join(named, marked.node == named.of, "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
-
-
-def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the node's set (ids may repeat with other texts)."""
-    for batch in batches:
-        keep = [set_key(shingle_set(t)) == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        yield batch.filter(pa.array(keep, pa.bool_()))
+    return marked, classes.join(labels, "node", "left").select("node", "id", "text_hash", F.coalesce("component", "node").alias("c"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of every component: that of the smallest key; of rows that share it, any one."""
-    of = free(docs, "_of")
-    linked = jaccard_components(docs, percent, key, text)
-    own = linked.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(of)).distinct()
-    return docs.join(own, F.col(key).eqNullSafe(F.col(of)), "left_semi").dropDuplicates([key])
+    """``docs`` with one document of every component: that of the smallest key, then of the smallest text hash.
+
+    A document is a key with a text: rows that share the key but not the text
+    count as two, with a null key too.  Documents without words all stay.  Of
+    rows that share both, any one stays.
+    """
+    of, of_hash, own_hash = free(docs, "_of"), free(docs, "_of_hash"), free(docs, "_hash")
+    marked, classes = _classes(docs, percent, key, text)
+    first = classes.groupBy("c").agg(_first_row().alias("x")).select("x.id", "x.text_hash")
+    kept = first.union(marked.where("n = 0").select("id", "text_hash").distinct()).toDF(of, of_hash)
+    hashed = docs.withColumn(own_hash, _text_hash(text))
+    same = F.col(key).eqNullSafe(F.col(of)) & (F.col(own_hash) == F.col(of_hash))
+    return hashed.join(kept, same, "left_semi").dropDuplicates([key, own_hash]).drop(own_hash)

@@ -365,6 +365,21 @@ def test_jaccard_of_nothing_and_one_of_each(spark, docs, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in H.components(rows).values()})
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_one_of_each_keeps_texts_that_share_a_key(spark, partitions):
+    words = [[f"t{t}w{i}" for i in range(60)] for t in range(8)]
+    near = words[0][:-1] + ["other"]
+    data = [(None, " ".join(words[t])) for t in (1, 2, 3)]  # three texts without a key, two of them like no other
+    data += [(1, " ".join(words[0])), (5, " ".join(near)), (5, " ".join(words[4])), (6, " ".join(words[5])), (6, " ".join(words[6]))]
+    data += [(9, " ".join(words[3])), (7, ""), (7, " ".join(words[7])), (None, ""), (None, None)]
+    data += [data[0], data[6]]
+    for order in (data, data[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(partitions)
+        got = [(r.doc_id, r.text or "") for r in jaccard.one_of_each(df).collect()]
+        lost = {(None, data[2][1]), (5, " ".join(near))}  # near copies of 9 and of 1
+        assert len(got) == len(set(got)) and set(got) == {(k, t or "") for k, t in data} - lost
+
+
 def test_connected_components(spark):
     edges = [(5, 4), (4, 3), (9, 8), (3, 1), (7, 7), (None, 2), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25), (25, 26)]
     got = {r.node: r.component for r in base.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
