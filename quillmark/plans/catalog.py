@@ -717,13 +717,9 @@ def softmax_pair(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------- models
-# Single boosted models run with their full settings, as early stopping ends
-# them.  Queries that fit many models without it, or for thousands of trees,
-# shorten them: Spark ML takes about 0.3 s a round whatever the size.
-ROUNDS = 10
-FOREST_TREES = 20
-
-
+# All models run with their full settings.  Early stopping ends the boosted
+# ones that are given a validation set; Spark ML takes about 0.3 s a round
+# whatever the size.
 def _model_table(spark: SparkSession, sf: str, names: Sequence[str]) -> DataFrame:
     """Features of every document with its label, computed once and stored."""
     docs = D.spread(D.table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
@@ -765,7 +761,7 @@ def gbt_rounds(spark: SparkSession, sf: str) -> DataFrame:
 def rf_extratrees(spark: SparkSession, sf: str) -> DataFrame:
     df = _model_table(spark, sf, Q.BASE9)
     train, _, _ = _splits(df)
-    return trees.fit_forest(train, Q.BASE9, trees=FOREST_TREES)(df, "score").select("id", "label", "score")
+    return trees.fit_forest(train, Q.BASE9)(df, "score").select("id", "label", "score")
 
 
 @query("logreg_balanced")
@@ -779,7 +775,7 @@ def logreg_balanced(spark: SparkSession, sf: str) -> DataFrame:
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """Best validation threshold of five models fitted on the same features."""
     train, val, _ = _splits(_model_table(spark, sf, Q.BASE9))
-    fitted = boosting.compare(train, val, Q.BASE9, rounds=ROUNDS, forest_trees=FOREST_TREES)
+    fitted = boosting.compare(train, val, Q.BASE9)
     return fitted.best_thresholds(materialize(fitted.score(val), "compared"))
 
 
@@ -788,7 +784,7 @@ def cv_oof(spark: SparkSession, sf: str) -> DataFrame:
     """Rebalanced training, 5 folds: out-of-fold scores and averaged test scores."""
     df = _model_table(spark, sf, Q.STYLE19)
     train, val, test = _splits(df)
-    params = trees.BOOST_PRESETS["depth5"].scaled(ROUNDS)
+    params = trees.BOOST_PRESETS["depth5"]
     balanced = materialize(rebalanced.rebalance(train, n=400), "balanced")
     fitted = rebalanced.fit(balanced, val, [test], Q.STYLE19, params)
     parts = [("train", fitted.oof), ("validation", fitted.scored[0]), ("test", fitted.scored[1])]
@@ -802,7 +798,7 @@ def stack_views(spark: SparkSession, sf: str) -> DataFrame:
     """All three views, the one that is ready but switched off included."""
     views = {**Q.VIEWS, **Q.INACTIVE_VIEWS}
     df = _model_table(spark, sf, [c for v in views.values() for c in v])
-    params = trees.BOOST_PRESETS["stacking"].scaled(ROUNDS)
+    params = trees.BOOST_PRESETS["stacking"]
     _, test = ensembles.stack_views(
         df.where("label is not null"), df.where("label is null"), views,
         lambda a, _, cols: trees.fit_boosted(a, None, cols, params),
@@ -816,7 +812,7 @@ def late_fusion(spark: SparkSession, sf: str) -> DataFrame:
     df = _model_table(spark, sf, Q.STYLE19)
     given = D.corpus(spark, sf).select("id", ((F.col("n_chars") % 1000) / F.lit(1000.0)).alias("text_score"))
     train, val, _ = _splits(df.join(given, "id"))
-    boosted = trees.fit_boosted(train, None, Q.STYLE19, trees.BOOST_PRESETS["depth5"].scaled(ROUNDS))
+    boosted = trees.fit_boosted(train, None, Q.STYLE19, trees.BOOST_PRESETS["depth5"])
     fit_on = materialize(boosted(val, "tree_score"), "fusion")
     apply_to = boosted(df.join(given, "id"), "tree_score")
     fused = ensembles.fuse(fit_on, apply_to, Q.STYLE19, ["tree_score", "text_score"])
@@ -832,7 +828,7 @@ def ablation(spark: SparkSession, sf: str) -> DataFrame:
 @query("random_search")
 def random_search(spark: SparkSession, sf: str) -> DataFrame:
     train, val, _ = _splits(_model_table(spark, sf, Q.BASE9))
-    return ensembles.random_search(train, val, Q.BASE9, trees.BoostParams(rounds=5, wait=None), draws=10)
+    return ensembles.random_search(train, val, Q.BASE9, trees.BoostParams(rounds=5000, wait=100), draws=10)
 
 
 @query("iforest_pair")

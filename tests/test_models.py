@@ -1,13 +1,16 @@
 """Model operators on small synthetic tables."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
+from conftest import SF_DIR
 from pyspark.sql import functions as F
 
 from quillmark.functions import arrays
 from quillmark.operators import ensembles, iforest, metrics, trees
 from quillmark.operators.linear import fit_logistic
-from quillmark.plans import anomaly, boosting, rebalanced
+from quillmark.plans import anomaly, boosting, catalog, rebalanced
 
 COLUMNS = ["a", "b", "c"]
 
@@ -137,6 +140,35 @@ def test_ablation_and_search(parts):
     assert len(scores) == 2 and scores == sorted(scores, reverse=True)
 
 
+def test_model_queries_run_full_settings(spark, monkeypatch):
+    """What each registered query asks for; the fits themselves are short here."""
+    boosted, forests = [], []
+    fit_until, fit_forest = trees.fit_until, trees.fit_forest
+
+    def short_boost(train, val, columns, params, label="label"):
+        boosted.append((params.rounds, params.wait if val is not None else None))
+        return fit_until(train, None, columns, replace(params, rounds=1), label)
+
+    def short_forest(train, columns, label="label", trees=5000, **more):
+        forests.append(trees)
+        return fit_forest(train, columns, label, 2, **more)
+
+    monkeypatch.setattr(trees, "fit_until", short_boost)
+    monkeypatch.setattr(trees, "fit_forest", short_forest)
+    expected = {
+        "rf_extratrees": ([], [5000]),
+        "model_comparison": ([(500, 50), (5000, 100), (5000, 100)], [5000]),
+        "cv_oof": ([(500, 50)] * 5, []),
+        "stack_views": ([(500, None)] * 18, []),
+        "late_fusion": ([(500, None)], []),
+        "random_search": ([(5000, 100)] * 10, []),
+    }
+    for name, asked in expected.items():
+        boosted.clear(), forests.clear()
+        catalog.QUERIES[name](spark, SF_DIR)
+        assert (boosted, forests) == asked, name
+
+
 def test_isolation_forest(spark):
     rng = np.random.default_rng(5)
     rows = [(i, i % 2, *map(float, rng.normal(size=3))) for i in range(700)]
