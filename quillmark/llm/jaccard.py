@@ -256,6 +256,23 @@ def _block_links(common, percent: int):
     return run
 
 
+def _strangers(few: DataFrame) -> DataFrame:
+    """Nodes outside the largest component of their shingle: at most 4 * PAIRED where the open pairs are few."""
+    return few.where(F.col("c") != F.col("top"))
+
+
+def _open_pairs(few: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of nodes of one shingle in different components.
+
+    Strangers are joined with the whole group, so a large component is never
+    joined with itself: what is visited is its nodes times the strangers.
+    """
+    other = few.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
+    once = (F.col("c_b") == F.col("top")) | (F.col("node") < F.col("b"))
+    pairs = _strangers(few).join(other, "token").where((F.col("c") != F.col("c_b")) & once & _long_enough(F.col("n"), F.col("n_b"), percent))
+    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+
+
 def _long_enough(x: Column, y: Column, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
@@ -341,14 +358,12 @@ def _classes(docs: DataFrame, percent: int, key: str, text: str) -> tuple[DataFr
 
     placed = met.join(labels, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
     parts = placed.groupBy("token", "c").agg(F.count("*").alias("k"))
-    open_tokens = parts.groupBy("token").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("parts"))
-    # pairs of different components against nodes: listing them is linear where a few nodes face one large component
-    open_tokens = open_tokens.where("parts > 1").select("token", "m", ((F.col("m") * F.col("m") - F.col("same")) <= F.col("m") * (2 * PAIRED)).alias("few"))
+    open_tokens = parts.groupBy("token").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("parts"), F.max(F.struct("k", "c"))["c"].alias("top"))
+    # pairs of different components against nodes: few if a few nodes face one large component
+    open_tokens = open_tokens.where("parts > 1").select("token", "m", "top", ((F.col("m") * F.col("m") - F.col("same")) <= F.col("m") * (2 * PAIRED)).alias("few"))
     rest = materialize(placed.join(open_tokens, "token"), "rest")
-    few = rest.where("few")
-    other = few.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    pairs = few.join(other, "token").where((F.col("c") != F.col("c_b")) & (F.col("node") < F.col("b")) & _long_enough(F.col("n"), F.col("n_b"), percent))
-    pairs = materialize(pairs.select(F.col("node").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = _open_pairs(rest.where("few"), percent)
+    pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     more = [verify(pairs)] if not pairs.isEmpty() else []
     many = rest.where("not few")
     if not many.isEmpty():

@@ -329,6 +329,16 @@ def test_components_of_a_large_near_copy_group(spark, monkeypatch, common, paire
     assert got == expected and 1 < len({c for _, c in expected.values()}) < 120
 
 
+def test_a_large_component_is_not_joined_with_itself(spark):
+    group = [(1, i, 100, 0, 0) for i in range(3000)] + [(1, 5000, 100, 5000, 0), (1, -7, 100, -7, 0), (1, 6000, 10, 6000, 0)]
+    few = spark.createDataFrame(group, "token long, node long, n long, c long, top long")
+    pairs = jaccard._open_pairs(few, 80)
+    got = sorted(map(tuple, pairs.collect()))
+    assert got == sorted([(i, 5000) for i in range(3000)] + [(-7, i) for i in range(3000)] + [(-7, 5000)])
+    # the side that is joined with the group holds the strangers alone
+    assert sorted(r.node for r in jaccard._strangers(few).collect()) == [-7, 5000, 6000]
+
+
 def test_prefixes_meet_in_every_order():
     from quillmark.llm.shingles import similar
 
