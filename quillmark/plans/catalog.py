@@ -75,11 +75,16 @@ def feature_means(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _digest(df: DataFrame, *columns: str) -> str:
+    """Version of what a cached table is built from: count, sum and xor of a hash of every row."""
+    h = F.xxhash64(*columns)
+    return "-".join(str(v) for v in df.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(20,0)")), F.bit_xor(h)).first())
+
+
 def _cached_base(spark: SparkSession, sf: str) -> DataFrame:
-    docs = D.table(spark, sf, "documents")
-    rows, chars = docs.agg(F.count(F.lit(1)), F.sum("n_chars")).first()
+    version = _digest(D.table(spark, sf, "documents"), "doc_id", "text")
     path = f"{shared_dir(spark)}/quillmark/feature-cache/{sf.strip('/').replace('/', '-').replace(':', '')}"
-    return C.cached(spark, path, f"base9-2-{rows}-{chars}", lambda: _named(Q.BASE9, spark, sf))
+    return C.cached(spark, path, f"base9-3-{version}", lambda: _named(Q.BASE9, spark, sf))
 
 
 @query("feature_cache", oracles.wide_sql(Q.BASE9))
@@ -93,10 +98,11 @@ def feature_cache(spark: SparkSession, sf: str) -> DataFrame:
 def score_cache(spark: SparkSession, sf: str) -> DataFrame:
     """Model scores kept by version, as the anomaly pair is."""
     path = f"{shared_dir(spark)}/quillmark/score-cache/{sf.strip('/').replace('/', '-').replace(':', '')}"
-    rows = D.table(spark, sf, "labels").count()
+    documents, labels = D.table(spark, sf, "documents"), D.table(spark, sf, "labels")
+    version = f"scores-2-{_digest(documents, 'doc_id', 'n_chars')}-{_digest(labels, 'doc_id', 'quality')}"
     build = lambda: D.scores(spark, sf).drop("label")
-    C.cached(spark, path, f"scores-1-{rows}", build)
-    return C.cached(spark, path, f"scores-1-{rows}", build)
+    C.cached(spark, path, version, build)
+    return C.cached(spark, path, version, build)
 
 
 @query("read_split", "select doc_id, text, n_chars, null::varchar as code, null::varchar as generator, null::varchar as language, null::int as label, lang, source from documents")

@@ -134,3 +134,17 @@ def test_close_removes_what_a_run_left(spark):
     session.close(spark)
     assert not os.path.exists(session.run_dir(spark))
     assert session.materialize(spark.range(3)).count() == 3
+
+
+def test_caches_follow_the_content(spark, tmp_path):
+    """Tables replaced by others of the same counts and sums are read anew."""
+    from quillmark.plans import catalog
+
+    for text, chars in (("a b c d", (5, 7)), ("e;f;g;h", (7, 5))):
+        docs = [(i, text, "en", "s", n) for i, n in enumerate(chars)]
+        spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        scores = {r.id: r.score for r in catalog.QUERIES["score_cache"](spark, str(tmp_path)).collect()}
+        assert scores == {i: n / 1000 for i, n in enumerate(chars)}
+        cached = sorted(catalog.QUERIES["feature_cache"](spark, str(tmp_path)).collect())
+        assert cached == sorted(catalog.QUERIES["feat_base9"](spark, str(tmp_path)).collect())
