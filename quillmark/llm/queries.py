@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, jaccard, langid, lines, mixing, quality, simhash, suffixes, tokenfile, topk
+from quillmark.llm import bpe, collocations, jaccard, langid, lines, merkle, mixing, quality, simhash, suffixes, tokenfile, topk, toxicity
 from quillmark.llm.base import read
 from quillmark.llm.oracles import ORACLES  # noqa: F401
 
@@ -63,6 +63,21 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "pages"), model).withColumn("confidence", F.round("confidence", 6))
 
 
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup,
     "op2_quality_classifier": quality_classifier,
@@ -74,4 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": document_fingerprints,
     "op9_jaccard_join": jaccard_join,
     "op10_language_id": language_id,
+    "op11_toxicity": toxic_documents,
+    "op12_collocations": phrase_collocations,
+    "op13_merkle_manifest": merkle_manifest,
 }
