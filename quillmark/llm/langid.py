@@ -31,14 +31,26 @@ DOMAIN_WEIGHT = 20.0
 SIGNAL_WEIGHT = 5.0
 
 _HIDDEN = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)")
-_TAG = re.compile(r"(?s)<[^>]*>")
+
+
+def without_tags(text: str) -> str:
+    """A space in place of every stretch from a ``<`` to the next ``>``, in one pass; a ``<`` that is never closed stays."""
+    out, at = [], 0
+    while True:
+        start = text.find("<", at)
+        end = text.find(">", start) if start >= 0 else -1
+        if end < 0:
+            out.append(text[at:])
+            return " ".join(out)
+        out.append(text[at:start])
+        at = end + 1
 
 
 def visible_text(page: str) -> str:
     """Text without markup, scripts, styles and comments; entities are resolved."""
     if "<" not in page:
         return entities.unescape(page)
-    return entities.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    return entities.unescape(without_tags(_HIDDEN.sub(" ", page)))
 
 
 def grams(text: str) -> np.ndarray:

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from quillmark.llm.base import materialize, small_batches
 
 TOP = 5
-#: Components are turned into floor(SCALE * x), and limited to what 31 bits hold.
+#: Components are turned into floor(SCALE * x).
 SCALE = 256.0
-LIMIT = 2.0**31 - 1
+#: Sums of products of whole numbers are exact in doubles below this; beyond it they are added up as Python integers.
+EXACT = 2.0**52
 #: Rows of a candidate block and of a query block; blocks that one task walks through in a row.
 BLOCK_ROWS = 2048
 QUERY_ROWS = 4096
@@ -32,7 +33,7 @@ def _pack(dims: int):
         order = np.argsort(table["vec_id"].to_numpy(), kind="stable")
         vectors = np.zeros((len(ids), dims))
         for i, v in enumerate(table["vector"].to_pylist()):
-            vectors[i, : len(v)] = np.clip(np.floor(SCALE * np.asarray(v, float)), -LIMIT, LIMIT)
+            vectors[i, : len(v)] = np.floor(SCALE * np.asarray(v, float))
         return pa.table({
             "block": table["block"].slice(0, 1), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
             "vectors": pa.array([vectors[order].astype("<f8").tobytes()], pa.binary()),
@@ -60,39 +61,66 @@ def segment_table(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, axis=1) if out else np.zeros((len(x), 1))
 
 
+def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows of whole numbers, exactly; a ValueError if one does not fit 64 bits."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = np.einsum("ij,ij->i", a, b)
+        # the norms bound every partial sum
+        sure = np.sqrt((a**2).sum(axis=1)) * np.sqrt((b**2).sum(axis=1)) < EXACT
+    out = np.zeros(len(a), np.int64)
+    out[sure] = scores[sure].astype(np.int64)
+    for i in np.flatnonzero(~sure).tolist():
+        both = np.flatnonzero((a[i] != 0) & (b[i] != 0))
+        score = sum(int(x) * int(y) for x, y in zip(a[i, both].tolist(), b[i, both].tolist(), strict=True))
+        if not -(2**63) < score < 2**63:
+            raise ValueError("an inner product does not fit 64 bits")
+        out[i] = score
+    return out
+
+
 class Best:
     """The best scores so far of every query of a block; ties go to the smaller id."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: int) -> None:
         self.ids, self.vectors, self.top = ids, vectors, top
-        self.scores = np.full((len(ids), top), -np.inf)
+        self.scores = np.full((len(ids), top), np.iinfo(np.int64).min)
         self.found = np.full((len(ids), top), np.iinfo(np.int64).max)
-        self.square = (vectors**2).sum(axis=1)
-        self.levels = [segment_table(vectors, s) for s in SEGMENTS]
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.square = (vectors**2).sum(axis=1)
+            self.levels = [segment_table(vectors, s) for s in SEGMENTS]
 
-    def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def survivors(self, vectors: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a query and a candidate whose bound reaches the floor; a bound beyond doubles excludes nothing."""
         square = (vectors**2).sum(axis=1)
         # what rounding may add to a bound
-        slack = 1e-9 * (1.0 + np.sqrt(self.square[:, None] * square[None, :]))
-        alive = np.ones((len(self.ids), len(ids)), bool)
-        floor = self.scores[:, -1]
-        columns = np.arange(len(ids))
+        slack = 1e-9 * (1.0 + np.sqrt(self.square)[:, None] * np.sqrt(square)[None, :])
+        alive = np.ones((len(self.ids), len(vectors)), bool)
+        columns = np.arange(len(vectors))
         for level, segments in zip(self.levels, SEGMENTS, strict=True):
             table = segment_table(vectors[columns], segments)
             nearest = np.maximum((level**2).sum(axis=1)[:, None] + (table**2).sum(axis=1)[None, :] - 2 * level @ table.T, 0.0)
             most = (self.square[:, None] + square[columns][None, :] - nearest) / 2
-            alive[:, columns] &= most + slack[:, columns] >= floor[:, None]
+            # rounding of the squares, which may dwarf the product, counts as well
+            spare = slack[:, columns] + 1e-12 * (self.square[:, None] + square[columns][None, :])
+            alive[:, columns] &= ~(most + spare < floor[:, None])
             columns = np.flatnonzero(alive.any(axis=0))
             if len(columns) == 0:
+                break
+        return np.nonzero(alive)
+
+    def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        floor = np.where(self.found[:, -1] == np.iinfo(np.int64).max, -np.inf, self.scores[:, -1])
+        with np.errstate(over="ignore", invalid="ignore"):
+            rows, places = self.survivors(vectors, floor)
+            if len(rows) == 0:
                 return
-        rows, places = np.nonzero(alive[:, columns])
-        places = columns[places]
-        if len(rows) * 3 > len(self.ids) * len(columns):
-            scores = (self.vectors @ vectors[columns].T)[rows, np.searchsorted(columns, places)]
-        else:
-            scores = np.concatenate([
-                np.einsum("ij,ij->i", self.vectors[rows[a : a + 65536]], vectors[places[a : a + 65536]]) for a in range(0, len(rows), 65536)
-            ])
+            largest = np.sqrt(self.square.max()) * np.sqrt((vectors**2).sum(axis=1).max())
+            if largest < EXACT and len(rows) * 3 > len(self.ids) * len(vectors):
+                scores = (self.vectors @ vectors.T)[rows, places].astype(np.int64)
+            else:
+                scores = np.concatenate([
+                    inner_products(self.vectors[rows[a : a + 65536]], vectors[places[a : a + 65536]]) for a in range(0, len(rows), 65536)
+                ])
         other = (ids[places] != self.ids[rows]) & (scores >= floor[rows])
         rows, places, scores = rows[other], places[other], scores[other]
         if len(rows) == 0:
@@ -101,7 +129,7 @@ class Best:
         old = np.repeat(keep, self.top)
         rows, names = np.concatenate([old, rows]), np.concatenate([self.found[keep].ravel(), ids[places]])
         scores = np.concatenate([self.scores[keep].ravel(), scores])
-        order = np.lexsort((names, -scores, rows))
+        order = np.lexsort((names, ~scores, rows))
         rows, names, scores = rows[order], names[order], scores[order]
         rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
         best = rank < self.top
@@ -109,10 +137,10 @@ class Best:
         self.found[rows[best], rank[best]] = names[best]
 
     def result(self) -> pa.RecordBatch:
-        real = np.isfinite(self.scores)
+        real = self.found < np.iinfo(np.int64).max
         query = np.repeat(self.ids, self.top).reshape(self.scores.shape)
         return pa.RecordBatch.from_arrays(
-            [pa.array(query[real], pa.int64()), pa.array(self.found[real], pa.int64()), pa.array(self.scores[real].astype(np.int64), pa.int64())],
+            [pa.array(query[real], pa.int64()), pa.array(self.found[real], pa.int64()), pa.array(self.scores[real], pa.int64())],
             names=["query_id", "vec_id", "score"],
         )
 
@@ -144,13 +172,13 @@ def top_k(vectors: DataFrame, is_query: Column, top: int = TOP, key: str = "vec_
     whose lower-bound distance (hence upper-bound score) by segment means and
     deviations can't reach the last of them is dropped, first by one segment,
     then by 4, then by 16, and only survivors are multiplied out.  Scores are
-    exact while 256 times the norms stay below 2^26 (whole numbers in doubles).
+    exact whole numbers whatever the size of the components; one that a long
+    can't hold raises an error.
 
     Ties: the smaller id first.  Rows with a null id, a null vector or a null or
     non-finite component take no part.  Shorter vectors count as filled up with
-    zeros; larger components are limited to 31 bits.  Rows that repeat an id do
-    not find each other; a repeated query is asked once.  Fewer rows than
-    ``top`` give fewer ranks, an empty table none; extra columns are ignored.
+    zeros.  Rows that repeat an id do not find each other; a
+    repeated query is asked once.  Fewer rows than ``top`` give fewer ranks, an empty table none; extra columns are ignored.
     """
     small_batches(vectors)
     x = F.col(vector)

@@ -59,6 +59,38 @@ def test_top_k_of_few_rows(spark):
     assert rows_of(topk.top_k(two, F.col("vec_id") == 0)) == [(0, 1, 1, 131072), (0, 2, 1, 131072)]
 
 
+@pytest.mark.parametrize("scale", [1.0, 3e4, 1e7, 1e9])
+def test_top_k_of_large_components(spark, scale):
+    """Whole numbers beyond 2^31 and products beyond 2^53 keep their order and their last digit."""
+    rng = np.random.default_rng(int(scale))
+    few = 3 if scale > 1e8 else 9
+    data = [(int(i), [float(x) for x in rng.normal(size=few) * (scale / 1e5 if scale > 1e8 else scale / 10)]) for i in range(120)]
+    data += [(200, [1.0, 1.0]), (201, [2e7, 1.0]), (202, [3e7, 1.0]), (203, [4e7, 1.0]), (250, [0.0, scale]), (260, [1e-3] * few)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    assert rows_of(topk.top_k(df, F.col("vec_id") % 50 == 0)) == nearest(data, lambda i: i % 50 == 0)
+
+
+def test_top_k_refuses_what_a_long_cannot_hold(spark):
+    with pytest.raises(ValueError):
+        topk.inner_products(np.array([[2.0**40]]), np.array([[2.0**40]]))
+    assert topk.inner_products(np.array([[2.0**70, 0.0, 5.0]]), np.array([[0.0, 2.0**70, 3.0]])).tolist() == [15]
+
+
+def test_tags_are_cut_in_one_pass():
+    import re
+    import time
+
+    rng = random.Random(2)
+    for _ in range(300):
+        t = "".join(rng.choice("<>ab ") for _ in range(rng.randint(0, 30)))
+        assert langid.without_tags(t) == re.sub(r"(?s)<[^>]*>", " ", t)
+    start = time.perf_counter()
+    assert langid.visible_text("<" * 1_000_000) == "<" * 1_000_000
+    langid.visible_text("a<b>" * 300_000)
+    langid.visible_text("<script" * 100_000 + "<!--" * 100_000)
+    assert time.perf_counter() - start < 3
+
+
 def test_bounds_hold_and_tighten():
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(30, 37)), rng.normal(size=(40, 37))
