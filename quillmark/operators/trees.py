@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from quillmark.operators import metrics as M
 from quillmark.operators import scaling
 
-# Rounds of the first fit when early stopping may end it; each next fit has twice as many.
-FIRST_ROUNDS = 64
+# Models of at most so many rounds are fitted whole, and early stopping picks the round afterwards.  Longer ones begin
+# with FIRST_ROUNDS, and each next fit has twice as many.
+WHOLE_ROUNDS = 512
+FIRST_ROUNDS = 128
 # Rows of one partition of a training table.
 LAYOUT_ROWS = 100_000
 
@@ -179,13 +181,15 @@ def fit_until(
 ) -> tuple[StagedBoost, int | None]:
     """Fit no more rounds than early stopping needs: the model and the round to stop at.
 
-    A fit of few rounds is a prefix of a longer one.  So the rounds are doubled
-    until the watched metric has not improved for ``wait`` rounds or all rounds
-    are fitted; that costs at most about four times the rounds up to the stop.
+    A fit of few rounds is a prefix of a longer one, so the round to stop at is
+    the same whether or not later rounds exist.  Up to WHOLE_ROUNDS every round
+    is fitted once.  Beyond that the rounds are doubled until the watched metric
+    has not improved for ``wait`` rounds or all are fitted; Spark ML can't
+    continue a model, so that costs up to four times the rounds up to the stop.
     """
     if val is None or params.wait is None:
         return boosted_model(train, columns, params, label), None
-    rounds = min(params.rounds, max(FIRST_ROUNDS, params.wait + 1))
+    rounds = params.rounds if params.rounds <= WHOLE_ROUNDS else min(params.rounds, max(FIRST_ROUNDS, params.wait + 1))
     while True:
         model = boosted_model(train, columns, replace(params, rounds=rounds), label)
         stop, gave_up = model.best_round(val, params.wait, label, params.threshold, params.watch)

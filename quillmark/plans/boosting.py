@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.features import BASE9, add_features
 from quillmark.operators import linear, metrics, selection, trees
+from quillmark.operators.concurrent import side_by_side
 from quillmark.operators.trees import BOOST_PRESETS, BoostParams, Scorer
 from quillmark.sources.session import materialize, spread
 
@@ -51,17 +52,16 @@ def compare(
     label: str = "label", rounds: int | None = None, forest_trees: int = 5000,
     presets: Mapping[str, BoostParams] = BOOST_PRESETS,
 ) -> Comparison:
-    """Fit the named models; ``rounds`` shortens the boosted ones."""
-    scorers: dict[str, Scorer] = {}
-    for name in models:
+    """Fit the named models side by side; ``rounds`` shortens the boosted ones."""
+
+    def fitted(name: str) -> Scorer:
         if name in BOOSTED_MODELS:
             params = presets[BOOSTED_MODELS[name]]
-            params = params.scaled(rounds) if rounds else params
-            scorers[name] = trees.fit_boosted(train, val, columns, params, label)
-        elif name == "extratrees":
-            scorers[name] = trees.fit_forest(train, columns, label, forest_trees)
-        elif name == "lr":
-            scorers[name] = linear.fit_logistic(train, columns, label)
-        else:
-            raise ValueError(f"unknown model {name}")
-    return Comparison(scorers)
+            return trees.fit_boosted(train, val, columns, params.scaled(rounds) if rounds else params, label)
+        if name == "extratrees":
+            return trees.fit_forest(train, columns, label, forest_trees)
+        if name == "lr":
+            return linear.fit_logistic(train, columns, label)
+        raise ValueError(f"unknown model {name}")
+
+    return Comparison(dict(zip(models, side_by_side(train.sparkSession, [lambda m=m: fitted(m) for m in models]), strict=True)))

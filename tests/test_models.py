@@ -221,3 +221,32 @@ def test_head_tail_and_softmax(spark):
         assert r["p"] == pytest.approx(list(e / e.sum()))
     picks = [r["i"] for r in df.select(arrays.argmax(F.col("x")).alias("i")).collect()]
     assert picks == [int(np.argmax(x)) for x in logits]
+
+
+def test_side_by_side_keeps_order_and_raises(spark):
+    from quillmark.operators.concurrent import side_by_side
+
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+    tasks = [lambda i=i: spark.range(i).count() for i in (5, 3, 8, 1, 4)]
+    assert side_by_side(spark, tasks, 3) == [5, 3, 8, 1, 4] == side_by_side(spark, tasks, 1)
+    assert side_by_side(spark, []) == []
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, [lambda: 1, lambda: 1 // 0, lambda: 2], 2)
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
+def test_concurrent_search_equals_one_by_one(spark, monkeypatch):
+    from quillmark.operators import concurrent, ensembles, trees
+
+    rows = [(i, float(i % 7), float(i % 5), int((i % 7) + (i % 5) > 5)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int")
+    train, val = df.where("id % 3 > 0"), df.where("id % 3 = 0")
+    base = trees.BoostParams(rounds=4, wait=2)
+    both = []
+    for at_once in (4, 1):
+        monkeypatch.setattr(ensembles, "side_by_side", lambda s, t, n=at_once: concurrent.side_by_side(s, t, n))
+        found = ensembles.random_search(train, val, ["a", "b"], base, draws=4)
+        fit = lambda a, _, cols: trees.fit_boosted(a, None, cols, base)
+        _, test = ensembles.stack_views(train, val.drop("label"), {"x": ["a"], "y": ["a", "b"]}, fit, k=2)
+        both.append((sorted(map(tuple, found.collect())), sorted(map(tuple, test.collect()))))
+    assert both[0] == both[1] and both[0][1]
