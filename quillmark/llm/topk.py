@@ -112,6 +112,8 @@ class Best:
         floor = np.where(self.found[:, -1] == np.iinfo(np.int64).max, -np.inf, self.scores[:, -1])
         with np.errstate(over="ignore", invalid="ignore"):
             rows, places = self.survivors(vectors, floor)
+            other = ids[places] != self.ids[rows]
+            rows, places = rows[other], places[other]
             if len(rows) == 0:
                 return
             largest = np.sqrt(self.square.max()) * np.sqrt((vectors**2).sum(axis=1).max())
@@ -121,8 +123,8 @@ class Best:
                 scores = np.concatenate([
                     inner_products(self.vectors[rows[a : a + 65536]], vectors[places[a : a + 65536]]) for a in range(0, len(rows), 65536)
                 ])
-        other = (ids[places] != self.ids[rows]) & (scores >= floor[rows])
-        rows, places, scores = rows[other], places[other], scores[other]
+        better = scores >= floor[rows]
+        rows, places, scores = rows[better], places[better], scores[better]
         if len(rows) == 0:
             return
         keep = np.unique(rows)
