@@ -77,3 +77,8 @@ def head(df: DataFrame, n: int, key: str = "id") -> DataFrame:
     if below + equal == n:
         return df.where(F.col(key) <= F.lit(cut))
     return df.where(F.col(key) < F.lit(cut)).unionByName(df.where(F.col(key) == F.lit(cut)).limit(n - below))
+
+
+def of_class(df: DataFrame, k: int, label: str = "label") -> DataFrame:
+    """Rows of one class; rows without a label belong to none."""
+    return df.where(F.col(label) == k)

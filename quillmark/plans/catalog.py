@@ -682,6 +682,81 @@ def ablation_qda(spark: SparkSession, sf: str) -> DataFrame:
     return ensembles.ablation(train, val, _XYZ, _fit_qda).withColumn("macro_f1", F.round("macro_f1", 5))
 
 
+@query("joined_scores", oracles.BASE + """ select coalesce(a.id, b.id) as id, first_model, second_model, round((first_model + second_model) / 2, 6) as fused
+  from (select id, score as first_model from scored where id % 3 > 0) a full join (select id, score_b as second_model from scored where id % 5 > 0) b on a.id = b.id""")
+def joined_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of two models that each cover a part of the rows, side by side and averaged."""
+    scores = D.scores(spark, sf)
+    first = scores.where("id % 3 > 0").select("id", "score")
+    second = scores.where("id % 5 > 0").select("id", F.col("score_b").alias("score"))
+    both = ensembles.join_scores({"first_model": first, "second_model": second})
+    return both.withColumn("fused", F.round((F.col("first_model") + F.col("second_model")) / 2, 6))
+
+
+@query("class_subsets", oracles.BASE + """ select label, count(*) as n, min(id) as first_id, max(id) as last_id, sum(n_chars)::bigint as chars
+  from labelled where label in (0, 1) group by label""")
+def class_subsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Size and extent of the rows of each class, filtered class by class."""
+    df = D.with_labels(D.corpus(spark, sf).select("id", "n_chars"), spark, sf)
+    parts = [
+        sampling.of_class(df, k).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("n_chars").alias("chars"))
+        .select(F.lit(k).alias("label"), "n", "first_id", "last_id", "chars") for k in (0, 1)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+_VIEWS_XYZ = {"first": _XYZ[:2], "second": _XYZ[1:]}
+
+
+@query("stack_qda", _XYZ_SQL + f""", {_FOLDS},
+  pairs as (""" + " union all ".join(f"select '{v}' as view, w.id, w.label, fo.fold, {x} as x, {y} as y from wide w left join fo using (id)" for v, (x, y) in _VIEWS_XYZ.items()) + f"""),
+  st as (select view, k, label, count(*) as n, avg(x) as mean_1, avg(y) as mean_2, var_samp(x) as var_1, var_samp(y) as var_2, covar_samp(x, y) as cov
+    from pairs join range(6) f(k) on label is not null and fold <> k group by all),
+  fit as (select *, n / sum(n) over (partition by view, k) as prior, var_1 * var_2 - cov * cov as det from st),
+  sc as (select v.view, v.id, v.label, {_qda_probability('x', 'y').replace('round(', '(').replace(', 6)', ')')} as p from pairs v
+    join fit a on a.view = v.view and a.label = 0 and a.k = coalesce(v.fold, 5) join fit b on b.view = v.view and b.label = 1 and b.k = a.k),
+  side as (select id, label, max(p) filter (view = 'first') as s1, max(p) filter (view = 'second') as s2 from sc group by all),
+  top as (select label, count(*) as n, avg(s1) as mean_1, avg(s2) as mean_2, var_samp(s1) as var_1, var_samp(s2) as var_2, covar_samp(s1, s2) as cov
+    from side where label is not null group by label),
+  last as (select *, n / sum(n) over () as prior, var_1 * var_2 - cov * cov as det from top)
+  select id, round(s1, 5) as score_first, round(s2, 5) as score_second, {_qda_probability('s1', 's2').replace(', 6)', ', 5)')} as probability
+  from side, (select * from last where label = 0) a, (select * from last where label = 1) b where side.label is null""")
+def stack_qda(spark: SparkSession, sf: str) -> DataFrame:
+    """Two views with a closed-form model each, stacked: out-of-fold scores below, a discriminant on top."""
+    df = materialize(D.with_labels(_named(_XYZ, spark, sf), spark, sf), "xyz")
+    _, test = ensembles.stack_views(df.where("label is not null"), df.where("label is null"), _VIEWS_XYZ, _fit_qda, seed=42)
+    return test.select("id", *[F.round(c, 5).alias(c) for c in ("score_first", "score_second", "probability")])
+
+
+_NEWTON = """
+  pm as (select avg(avg_line_len) as m1, stddev_pop(avg_line_len) as s1, avg(space_ratio) as m2, stddev_pop(space_ratio) as s2 from wide where label is not null),
+  d as (select (avg_line_len - m1) / s1 as x, (space_ratio - m2) / s2 as y, label::double as t, sum(1) over () / (2.0::double * count(*) over (partition by label)) as c
+    from wide, pm where label is not null),
+  recursive_steps as (
+    with recursive it(k, w0, w1, w2) as (
+      select 0, 0.0::double, 0.0::double, 0.0::double
+      union all
+      select k + 1, w0 - (g0 * (d * f - e * e) + g1 * (c * e - b * f) + g2 * (b * e - c * d)) / det,
+        w1 - (g0 * (c * e - b * f) + g1 * (a * f - c * c) + g2 * (b * c - a * e)) / det,
+        w2 - (g0 * (b * e - c * d) + g1 * (b * c - a * e) + g2 * (a * d - b * b)) / det
+      from (select *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) as det from (
+        select k, w0, w1, w2, w0 + sum(u) as g0, w1 + sum(u * x) as g1, w2 + sum(u * y) as g2, 1 + sum(h) as a, sum(h * x) as b, sum(h * y) as c,
+          1 + sum(h * x * x) as d, sum(h * x * y) as e, 1 + sum(h * y * y) as f
+        from (select k, w0, w1, w2, x, y, d.c * (p - t) as u, d.c * p * (1 - p) as h from (
+          select it.*, d.*, 1 / (1 + exp(-(w0 + w1 * x + w2 * y))) as p from it, d where k < 20) d)
+        group by k, w0, w1, w2)))
+    select * from it where k = 20)"""
+
+
+@query("logreg_two", _QDA_SQL + "," + _NEWTON + """
+  select id, round(1 / (1 + exp(-(w0 + w1 * (avg_line_len - m1) / s1 + w2 * (space_ratio - m2) / s2))), 4) as score from wide, pm, recursive_steps""")
+def logreg_two(spark: SparkSession, sf: str) -> DataFrame:
+    """Scaled, balanced, penalised logistic regression on two columns, checked by Newton steps."""
+    df = _xy(spark, sf)
+    scored = fit_logistic(df, _XY, tol=1e-12)(df, "score")
+    return scored.select("id", F.round("score", 4).alias("score"))
+
+
 @query("decision_surface", _QDA_SQL + f""",
   e as (select min(avg_line_len) - 0.1 as x0, (max(avg_line_len) - min(avg_line_len) + 0.2) / 99 as dx,
           min(space_ratio) - 0.1 as y0, (max(space_ratio) - min(space_ratio) + 0.2) / 99 as dy from wide),

@@ -238,10 +238,10 @@ def test_side_by_side_keeps_order_and_raises(spark):
 def test_concurrent_search_equals_one_by_one(spark, monkeypatch):
     from quillmark.operators import concurrent, ensembles, trees
 
-    rows = [(i, float(i % 7), float(i % 5), int((i % 7) + (i % 5) > 5)) for i in range(120)]
+    rows = [(i, float(i % 7), float(i % 5), int((i % 7) + (i * i % 11) > 7)) for i in range(240)]
     df = spark.createDataFrame(rows, "id long, a double, b double, label int")
     train, val = df.where("id % 3 > 0"), df.where("id % 3 = 0")
-    base = trees.BoostParams(rounds=4, wait=2)
+    base = trees.BoostParams(rounds=4, wait=2, min_rows=2)
     both = []
     for at_once in (4, 1):
         monkeypatch.setattr(ensembles, "side_by_side", lambda s, t, n=at_once: concurrent.side_by_side(s, t, n))
