@@ -122,21 +122,42 @@ def histogram(df: DataFrame, x: str, by: Sequence[str] = (), bins: int | None =
     )
 
 
+# Cells per bandwidth of a density, most cells over all, and bandwidths after which a value no longer counts.
+CELLS_PER_BANDWIDTH = 64
+MOST_CELLS = 1 << 20
+REACH = 8
+
+
 def density(df: DataFrame, x: str, points: int = 200) -> DataFrame:
     """Gaussian kernel density on an even grid between the extremes (Scott bandwidth).
 
-    Equal values are merged first; every task then reduces its values to one
-    partial sum per grid point, so only ``points`` rows per task are shuffled.
+    Values are gathered in cells of a small part of the bandwidth, with their
+    first moments around the middle of the cell (one row a cell leaves a task,
+    however many different values there are).  A cell adds to the grid points
+    within ``REACH`` bandwidths only, as the Taylor series of the kernel in
+    these moments.  With a cell of h / 64 a value is at most d = h / 128 from
+    the middle and the series is off by less than d^4 / 8 of a kernel, 5e-10;
+    what lies beyond the reach would add less than 2e-14.
     """
     n, low, high, std = _range(df, x)
     if not n or n < 2 or not std:
         return df.sparkSession.createDataFrame([], "k int, x double, density double")
     h = std * n ** -0.2
     step = (high - low) / (points - 1)
-    counts = df.select(F.col(x).cast("double").alias("v")).where("v is not null").groupBy("v").count()
-    on_grid = counts.select("v", "count", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
-    z = (F.lit(low) + F.col("k") * F.lit(step) - F.col("v")) / F.lit(h)
+    width = max(h / CELLS_PER_BANDWIDTH, (high - low) / MOST_CELLS)
+    values = df.select(F.col(x).cast("double").alias("v")).where("v is not null")
+    values = values.withColumn("cell", F.floor((F.col("v") - low) / width))
+    middle = F.lit(low) + (F.col("cell") + 0.5) * width
+    d = (F.col("v") - middle) / h
+    cells = values.groupBy("cell").agg(F.count(F.lit(1)).alias("m0"), F.sum(d).alias("m1"), F.sum(d * d).alias("m2"), F.sum(d * d * d).alias("m3"))
+    first = F.greatest(F.lit(0), F.ceil((middle - REACH * h - low) / step).cast("int"))
+    last = F.least(F.lit(points - 1), F.floor((middle + REACH * h - low) / step).cast("int"))
+    near = cells.withColumns({"first": first, "last": last}).where("first <= last").withColumn("k", F.explode(F.sequence("first", "last")))
+    z = (F.lit(low) + F.col("k") * F.lit(step) - middle) / h
+    series = F.col("m0") + z * F.col("m1") + (z * z - 1) / 2 * F.col("m2") + (z * z * z - 3 * z) / 6 * F.col("m3")
     scale = 1.0 / (n * h * math.sqrt(2 * math.pi))
-    return on_grid.groupBy("k").agg((F.sum(F.col("count") * F.exp(z * z * -0.5)) * scale).alias("density")).select(
-        "k", (F.lit(low) + F.col("k") * F.lit(step)).alias("x"), "density"
-    )
+    sums = near.groupBy(F.col("k").alias("at")).agg((F.sum(F.exp(z * z * -0.5) * series) * scale).alias("density"))
+    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("k"))
+    return grid.join(sums, F.col("k") == F.col("at"), "left").select(
+        "k", (F.lit(low) + F.col("k") * F.lit(step)).alias("x"), F.coalesce("density", F.lit(0.0)).alias("density"))
+

@@ -199,3 +199,22 @@ def test_qda_of_three_and_four_columns(spark):
         expected = 1 / (1 + np.exp(logs[0] - logs[1]))
         got = [r["probability"] for r in qda.score(df, qda.fit(df, columns), columns).collect()]
         assert got == pytest.approx(list(expected), abs=1e-9)
+
+
+def test_density_equals_direct_sum(spark):
+    """Cells with moments against the sum over all values; far outliers leave grid points that nothing reaches."""
+    import math
+
+    from quillmark.operators import profile
+
+    values = [math.sin(i * 12.9898) * 3 + (i % 7) for i in range(700)] + [400.0, -250.0]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = {r.k: (r.x, r.density) for r in profile.density(df, "v", 120).collect()}
+    n, low, high = len(values), min(values), max(values)
+    mean = sum(values) / n
+    h = math.sqrt(sum((v - mean) ** 2 for v in values) / (n - 1)) * n**-0.2
+    assert sorted(got) == list(range(120))
+    for k, (x, p) in got.items():
+        assert x == pytest.approx(low + k * (high - low) / 119)
+        direct = sum(math.exp(-0.5 * ((x - v) / h) ** 2) for v in values) / (n * h * math.sqrt(2 * math.pi))
+        assert p == pytest.approx(direct, abs=1e-9 / h)
