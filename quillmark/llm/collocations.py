@@ -21,7 +21,9 @@ NO_LANGUAGE = "und"
 SUPPORT = 100
 LONGEST = 5
 TOP = 2000
-#: Words of a shard, which a task holds in memory as 32-bit numbers.
+#: Shards are made so large that the local support is about this ...
+LOCAL_SUPPORT = 4
+#: ... up to so many words, which a task holds in memory as 32-bit numbers.
 SHARD_WORDS = 6_000_000
 #: Bits of the map that the union of locally frequent phrases travels as: 8 MB, whatever the input.
 MAP_BITS = 26
@@ -85,13 +87,13 @@ class Part:
         salt = xxhash.xxh64_intdigest(self.lang.encode("utf-8", "replace"))
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, salt) for w in self.words), np.uint64, len(self.words))
 
-    def bits(self, k: int, first: np.ndarray) -> np.ndarray:
-        """Place in the map of the phrases of ``k`` words that begin at ``first``."""
+    def codes(self, k: int, first: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the phrases of ``k`` words that begin at ``first``; the leading MAP_BITS are their place in the map."""
         h = np.full(len(first), k, np.uint64)
         for j in range(k):
             h = (h ^ self.hashes[self.at[first + j]]) * _STEP
             h ^= h >> np.uint64(29)
-        return ((h * _MIX) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+        return h * _MIX
 
     def phrases(self, k: int, first: np.ndarray) -> list[str]:
         at = self.at
@@ -121,8 +123,8 @@ class Part:
             place = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0))
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
-    """The languages of one shard after the other; a shard ends at SHARD_WORDS words and with its task."""
+def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Part]:
+    """The languages of one shard after the other; a shard ends at ``size`` words and with its task."""
     parts: dict[str, Part] = {}
 
     def flush() -> Iterator[Part]:
@@ -136,44 +138,47 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
             if lang not in parts:
                 parts[lang] = Part(lang, total)
             parts[lang].add(text)
-        if sum(p.n_words for p in parts.values()) >= SHARD_WORDS:
-            yield from flush()
+            if sum(p.n_words for p in parts.values()) >= size:
+                yield from flush()
     yield from flush()
 
 
-def _local_map(support: int):
-    """Mining pass: bits of the phrases that are frequent in a shard, at its share of the support."""
+def _local_supports(support: int, size: int):
+    """Mining pass: phrases that are frequent in a shard at its share of the support.
+
+    A row has the hash of a phrase and by how much its count passes ``least - 1``,
+    the most that it could have had unseen; the row without a hash has that number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _shards(batches):
+        for part in _shards(batches, size):
             least = max(1, -(-support * part.n_words // part.total))
-            found: list[np.ndarray] = []
+            codes, over = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
-            def accept(k: int, first: np.ndarray, counts: np.ndarray, part=part, least=least, found=found) -> np.ndarray:
+            def accept(k: int, first: np.ndarray, counts: np.ndarray, part=part, least=least, codes=codes, over=over) -> np.ndarray:
                 good = counts >= least
-                found.append(part.bits(k, first[good]))
+                codes.append(part.codes(k, first[good]).view(np.int64))
+                over.append(counts[good] - (least - 1))
                 return good
 
             part.mine(accept)
-            bits = np.unique(np.concatenate([*found, np.empty(0, np.int64)]))
-            word, start = np.unique(bits >> 6, return_index=True)
-            one = np.uint64(1) << (bits & 63).astype(np.uint64)
-            mask = np.bitwise_or.reduceat(one, start).view(np.int64) if len(start) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(mask)], names=["word", "mask"])
+            n = sum(map(len, codes))
+            yield pa.RecordBatch.from_arrays([pa.array([part.lang], pa.string()), pa.array([None], pa.int64()), pa.array([least - 1], pa.int64())], names=["lang", "code", "over"])
+            yield pa.RecordBatch.from_arrays([pa.array([part.lang] * n, pa.string()), pa.array(np.concatenate(codes)), pa.array(np.concatenate(over))], names=["lang", "code", "over"])
 
     return run
 
 
-def _exact_counts(shared):
+def _exact_counts(shared, size: int):
     """Counting pass: occurrences of the phrases in the map, shard by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(shared.value, np.uint64)
-        for part in _shards(batches):
+        for part in _shards(batches, size):
             rows: list[tuple[int, np.ndarray, np.ndarray]] = []
 
             def accept(k: int, first: np.ndarray, counts: np.ndarray, part=part, rows=rows) -> np.ndarray:
-                bits = part.bits(k, first)
+                bits = (part.codes(k, first) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
                 good = (bitmap[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
                 rows.append((k, first[good], counts[good]))
                 return good
@@ -202,32 +207,42 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, text: str = "text"
 
     Returns ``lang, phrase, k, f`` and the word totals ``lang, n``.  Partition
     (SON): a shard is mined whole at the support times its share of the
-    language's words; a phrase that is frequent at all is so in some shard.
-    The union of what the shards find travels as a map of hashed bits of fixed
-    size; a second pass counts every phrase in it exactly, so phrases that are
-    frequent in one place only, or share a bit, fall out in the end.
-
-    Small inputs are read by fewer tasks, so that shards keep their size.  The
-    local support is above 1 while shards are fewer than ``support``; beyond
-    that every phrase of a shard is a candidate: results stay exact and the
-    second pass shuffles up to all distinct phrases of each shard, so larger
-    inputs want a larger ``support`` (or larger shards).
+    language's words; a phrase that is frequent at all is so in some shard.  A
+    shard that does not report a phrase holds it less often than its local
+    support, so the counts of those that do bound the count of all; what cannot
+    reach the support leaves the union.  The union travels as a map of hashed
+    bits of fixed size, and a second pass counts every phrase in it exactly.
+    Phrases that share a bit or a hash with a candidate are counted as well and
+    fall out in the end.
+
+    Shards have ``LOCAL_SUPPORT / support`` of all words, but at most
+    SHARD_WORDS; where many small partitions hold less, fewer tasks read them.
+    Beyond ``support * SHARD_WORDS / LOCAL_SUPPORT`` words the local support
+    falls; from ``support * SHARD_WORDS`` on it is 1, and shards report all
+    their distinct phrases: still exact, but larger inputs want a larger
+    ``support`` or larger shards.
     """
     small_batches(docs)
     spark = docs.sparkSession
     totals = materialize(word_totals(docs, text, lang), "totals")
     words = totals.agg(F.sum("n")).first()[0] or 0
-    parts, cores = docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
-    wanted = max(1 + words // SHARD_WORDS, min(parts, cores))
+    size = min(SHARD_WORDS, max(1, -(-words * LOCAL_SUPPORT // support)))
+    parts, wanted = docs.rdd.getNumPartitions(), max(1, words // size, spark.sparkContext.defaultParallelism)
     rows = docs.select(F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("lang"), whole_text(text).alias("text"))
     rows = rows.coalesce(wanted) if parts > wanted else rows
     rows = rows.join(small(totals), "lang").select("lang", "n", "text")
 
-    found = rows.mapInArrow(_local_map(support), "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    found = rows.mapInArrow(_local_supports(support, size), "lang string, code long, over long")
+    found = materialize(found.groupBy("lang", "code").agg(F.sum("over").alias("over")), "found")
+    unseen = found.where("code is null").select(F.col("lang").alias("in"), F.col("over").alias("unseen"))
+    union = found.where("code is not null").join(small(unseen), F.col("lang") == F.col("in")).where(F.col("over") + F.col("unseen") >= support)
+    bit = F.shiftrightunsigned("code", 64 - MAP_BITS)
+    bits = union.select(bit.alias("bit")).selectExpr("cast(shiftright(bit, 6) as int) as word", "shiftleft(1L, cast(bit & 63 as int)) as mask")
+    table = bits.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     bitmap = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    bitmap[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+    bitmap[table["word"].to_numpy()] = table["mask"].to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
-    counted = rows.mapInArrow(_exact_counts(shared), "lang string, phrase string, k int, f long")
+    counted = rows.mapInArrow(_exact_counts(shared, size), "lang string, phrase string, k int, f long")
     summed = counted.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= support)
     return materialize(summed, "phrases"), totals
 
