@@ -87,15 +87,15 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 class _Memory(dict):
     """Ids of words; asks the library about a word that is not there."""
 
-    def __init__(self, older: dict[str, bytes], tokenize: Callable) -> None:
+    def __init__(self, older: dict[str, bytes], tokenize: Callable, code: str) -> None:
         super().__init__()
-        self.older, self.tokenize = older, tokenize
+        self.older, self.tokenize, self.code = older, tokenize, code
 
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
             ids = [t.id for t in self.tokenize(word.encode("utf-8").decode("latin-1").translate(_SPELLING))]
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            found = struct.pack(f"<{len(ids)}{self.code}", *ids)
         self[word] = found
         return found
 
@@ -110,18 +110,30 @@ class LibraryEncoder:
     spelled in the vocabulary's letters first, as the library's splitter does.
     """
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, end_id: int = END_ID) -> None:
         self.library = Tokenizer.from_str(vocabulary)
-        self.end = np.array([self.library.token_to_id(END_OF_TEXT)], "<u4").tobytes()
-        self.memory = _Memory({}, self.library.model.tokenize)
+        #: Bytes of an id: two where every id fits them.
+        self.width = 2 if max(end_id, *self.library.get_vocab().values()) < 1 << 16 else 4
+        self.special = self.library.token_to_id(END_OF_TEXT).to_bytes(self.width, "little")
+        self.end = end_id.to_bytes(self.width, "little")
+        self.memory = self._memory({})
+
+    def _memory(self, older: dict[str, bytes]) -> _Memory:
+        return _Memory(older, self.library.model.tokenize, "H" if self.width == 2 else "I")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; words not met for long are forgotten."""
+        """Little-endian ids of each text and the end id, ``width`` bytes each; words not met for long are forgotten."""
         if len(self.memory) > REMEMBERED_WORDS:
             self.memory.older.clear()
-            self.memory = _Memory(dict(self.memory), self.library.model.tokenize)
-        ids = self.memory.__getitem__
-        return [self.end.join([b"".join(map(ids, split(part))) for part in t.split(END_OF_TEXT)]) for t in texts]
+            self.memory = self._memory(dict(self.memory))
+        ids, end = self.memory.__getitem__, self.end
+        out = []
+        for t in texts:
+            if END_OF_TEXT in t:
+                out.append(self.special.join([b"".join(map(ids, split(part))) for part in t.split(END_OF_TEXT)]) + end)
+            else:
+                out.append(b"".join([*map(ids, split(t)), end]))
+        return out
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -139,18 +151,14 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
 
 def _encoded(shared, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(shared.value)
-        end = np.array([end_id], "<u4").tobytes()
+        encoder = LibraryEncoder(shared.value, end_id)
         for batch in batches:
             at = 0
             for texts in _chunks(batch.column(2).to_pylist()):
-                ids = [x + end for x in encoder.encode(texts)]
-                wide = np.frombuffer(b"".join(ids), "<u4")
-                short = len(wide) == 0 or wide.max() < 1 << 16
-                stored = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids] if short else ids
+                ids = encoder.encode(texts)
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(stored, pa.binary())],
+                    [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array([len(x) // encoder.width for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     names=["id", "run", "n", "ids"],
                 )
                 at += n
