@@ -241,7 +241,8 @@ def test_scores_on_held_out_documents(spark):
 
 def test_hidden_insults_are_caught(spark):
     clean = [f"the green tree of house {i} and the apple after water {i * 7}" for i in range(300)]
-    rows = [(i, f"{t} you idiot moron" if i % 3 == 0 else t, i % 3 == 0) for i, t in enumerate(clean)]
+    # one insult a document: where two always come together, neither has to carry the verdict alone
+    rows = [(i, f"{t} {('idiot', 'moron')[i % 2]} near" if i % 3 == 0 else f"{t} near", i % 3 == 0) for i, t in enumerate(clean)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, None, int(x)) for i, _, x in rows], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs, labels)
