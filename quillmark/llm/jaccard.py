@@ -25,9 +25,11 @@ MORE_ORDERS = (1, 2)
 CHUNK = 1_000_000
 #: Shingles of the sets that a task remembers while it verifies pairs.
 REMEMBERED = 1_000_000
-#: Open pairs for each node of a shingle up to which they are listed; beyond, blocks of BLOCK nodes meet block by block.
+#: Open pairs for each node of a shingle up to which they are listed; beyond, blocks meet block by block.
 PAIRED = 32
-BLOCK = 256
+#: Nodes of a block at most, and shingles of all its nodes (about, as nodes are dealt by a hash).
+BLOCK = 1024
+BLOCK_SHINGLES = 400_000
 
 
 def _counted(percent_buckets: int):
@@ -220,18 +222,18 @@ def _common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
 
 
 def _block_links(common, percent: int):
-    """Links between two blocks of nodes that share a shingle; only so many as join what they link."""
+    """Links of a block of a shingle's outer nodes to a block of all its nodes; only so many as join what they link."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         sets = _Sets(common.value, percent)
-        rows = sorted(zip(*(table[c].to_pylist() for c in ("node", "c", "block", "text")), strict=True))
-        low, high = key[1].as_py(), key[2].as_py()
-        left = [r for r in rows if r[2] == low]
-        right = left if low == high else [r for r in rows if r[2] == high]
-        both = [[sets.of(r[0], r[3]) for r in side] for side in (left, right)]
-        node = [np.array([r[0] for r in side], np.int64) for side in (left, right)]
-        label = [np.array([r[1] for r in side], np.int64) for side in (left, right)]
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("node", "c", "first", "outer", "left", "text")), strict=True))
+        left, right = ([r for r in rows if r[4] == side] for side in (True, False))
+        both = [[sets.of(r[0], r[5]) for r in side] for side in (left, right)]
+        node, label, first = ([np.array([r[k] for r in side], np.int64) for side in (left, right)] for k in range(3))
+        outer = np.array([r[3] for r in right], bool)
         alive = label[0][:, None] != label[1][None, :]
+        alive &= (first[0][:, None] != first[1][None, :]) | (first[0] == key[0].as_py())[:, None]
+        alive &= ~outer[None, :] | (node[0][:, None] < node[1][None, :])  # two outer nodes meet once
         for k in range(len(MORE_ORDERS)):
             alive &= _common_counts([x[1][k] for x in both[0]], [x[1][k] for x in both[1]]) > 0
         i, j = (np.flatnonzero(alive.any(axis=axis)) for axis in (1, 0))
@@ -273,6 +275,23 @@ def _open_pairs(few: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
 
 
+def _outer(crowded: DataFrame) -> DataFrame:
+    """Adds ``first``, the largest crowded shingle of the node, and ``outer``: whether the shingle's inner nodes lack it.
+
+    Inner nodes need not be compared with each other: they are those of the
+    largest component, or those whose ``first`` is the same other shingle,
+    whichever are more.
+    """
+    largest = crowded.groupBy("node").agg(F.min(F.struct((-F.col("m")).alias("less"), "token"))["token"].alias("first"))
+    placed = crowded.join(largest, "node")
+    shares = placed.where("first <> token").groupBy("token", "first").agg(F.count("*").alias("k"))
+    most = shares.groupBy("token").agg(F.max(F.struct("k", "first")).alias("most"))
+    tops = placed.groupBy("token").agg(F.count_if(F.col("c") == F.col("top")).alias("tops")).join(most, "token", "left")
+    by_first = F.coalesce(F.col("most.k") > F.col("tops"), F.lit(False))
+    outer = F.when(by_first, F.col("first") != F.col("most.first")).otherwise(F.col("c") != F.col("top"))
+    return materialize(placed.join(tops, "token").select("token", "node", "n", "c", "first", outer.alias("outer")), "crowded")
+
+
 def _long_enough(x: Column, y: Column, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
@@ -292,7 +311,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, key: str = "doc_
     different components are tried against each other: pair by pair where they
     are few, else block by block, where a task gets two blocks of at most about
     BLOCK nodes, filters and compares them by products of 0/1 tables and
-    passes on the links that join something.  So every two linked nodes end in
+    passes on the links that join something.  Copies share many such crowded
+    shingles: two nodes whose largest crowded shingle is the same one meet there
+    alone, so of a shingle's nodes those of the commonest larger shingle, or of
+    the largest component, are not compared with each other, and blocks are made
+    for the outer nodes against all.  So every two linked nodes end in
     one component, a large group of near copies costs about one comparison a
     member, and no row is written for a pair that is not similar.
 
@@ -365,14 +388,20 @@ def _classes(docs: DataFrame, percent: int, key: str, text: str) -> tuple[DataFr
     pairs = _open_pairs(rest.where("few"), percent)
     pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     more = [verify(pairs)] if not pairs.isEmpty() else []
-    many = rest.where("not few")
-    if not many.isEmpty():
-        count = F.ceil(F.col("m") / BLOCK).cast("int")
-        dealt = many.withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), count - 1)))
-        dealt = dealt.select("token", "node", "c", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-        dealt = dealt.join(texts_of(many.select("node")), "node")
-        met_in_blocks = dealt.groupBy("token", "low", "high").applyInArrow(_block_links(common, percent), "a long, b long")
-        more.append(materialize(met_in_blocks, "links"))
+    crowded = rest.where("not few")
+    if not crowded.isEmpty():
+        placed = _outer(crowded)
+        blocks = [F.ceil(F.greatest(F.sum(chosen) / BLOCK, F.sum(chosen * F.col("n")) / BLOCK_SHINGLES)).cast("int") for chosen in (F.col("outer").cast("int"), F.lit(1))]
+        dealt = placed.join(placed.groupBy("token").agg(blocks[0].alias("lefts"), blocks[1].alias("rights")).where("lefts > 0"), "token")
+        sides = []
+        for is_left, own, other in ((True, "lefts", "rights"), (False, "rights", "lefts")):
+            at = F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias("own")
+            met_by = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other")
+            side = dealt.where("outer") if is_left else dealt
+            side = side.select("token", "node", "c", "first", "outer", F.lit(is_left).alias("left"), at, met_by)
+            sides.append(side.withColumnsRenamed({"own": "i", "other": "j"} if is_left else {"own": "j", "other": "i"}))
+        dealt = sides[0].unionByName(sides[1]).join(texts_of(placed.select("node")), "node")
+        more.append(materialize(dealt.groupBy("token", "i", "j").applyInArrow(_block_links(common, percent), "a long, b long"), "links"))
     for found in more:
         links = links.union(found)
     if any(not found.isEmpty() for found in more):
