@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Callable, Iterator
 
@@ -103,6 +104,13 @@ class _Memory(dict):
 _SPELLING = {b: letter for letter, b in byte_letters().items()}
 
 
+@functools.lru_cache(maxsize=2)
+def _library(vocabulary: str) -> tuple[Tokenizer, int]:
+    """The tokenizer of a vocabulary file and its largest id; a worker reads it once for all of its tasks."""
+    library = Tokenizer.from_str(vocabulary)
+    return library, max(library.get_vocab().values())
+
+
 class LibraryEncoder:
     """Ids by the tokenizers library, whose model sees each distinct piece of text about once a task.
 
@@ -111,9 +119,9 @@ class LibraryEncoder:
     """
 
     def __init__(self, vocabulary: str, end_id: int = END_ID) -> None:
-        self.library = Tokenizer.from_str(vocabulary)
+        self.library, last = _library(vocabulary)
         #: Bytes of an id: two where every id fits them.
-        self.width = 2 if max(end_id, *self.library.get_vocab().values()) < 1 << 16 else 4
+        self.width = 2 if max(end_id, last) < 1 << 16 else 4
         self.special = self.library.token_to_id(END_OF_TEXT).to_bytes(self.width, "little")
         self.end = end_id.to_bytes(self.width, "little")
         self.memory = self._memory({})
