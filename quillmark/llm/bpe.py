@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.base import small_batches, whole_text
+from quillmark.llm.base import materialize, small_batches, whole_text
 from quillmark.llm.pretoken import END_OF_TEXT, split
 
 #: Most frequent words that the lexicon holds; its size does not grow with the input.
@@ -259,9 +259,21 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORDS) -> DataFrame:
-    """The ``most`` frequent words over all texts, ties by the word; tasks sum up their own words first."""
+    """The ``most`` frequent words over all texts, ties by the word; tasks sum up their own words first.
+
+    The number of words at each level of counts tells from which count on a word
+    can be among them, so that few more than ``most`` words are sorted and sent,
+    however many partitions there are.
+    """
     counted = docs.select(whole_text(text).alias("text")).mapInArrow(_count_words, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    words = materialize(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    levels = words.groupBy(F.floor(F.log2("n") * 16).alias("level")).agg(F.count("*").alias("k"), F.min("n").alias("least")).orderBy(F.desc("level")).collect()
+    least, found = 0, 0
+    for row in levels:  # sixteen rows for each doubling of the count
+        least, found = row["least"], found + row["k"]
+        if found >= most:
+            break
+    return words.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most)
 
 
 class Encoder:
