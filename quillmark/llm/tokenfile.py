@@ -23,7 +23,7 @@ END_ID = 2
 RUN_ROWS = 1_000
 MOST_RUNS = 4096
 BLOCK_IDS = 1 << 18
-#: Words a task remembers; twice as many while the older half is fading.
+#: Words a worker remembers; twice as many while the older half is fading.
 REMEMBERED_WORDS = 200_000
 
 #: Lengths (1 to 4 bytes) of the four values that a control byte stands for, two bits each from the lowest on.
@@ -112,7 +112,7 @@ def _library(vocabulary: str) -> tuple[Tokenizer, int]:
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library, whose model sees each distinct piece of text about once a task.
+    """Ids by the tokenizers library, whose model sees each distinct piece of text about once in the life of an encoder.
 
     Merges never cross pieces, so pieces may be encoded one by one; bytes are
     spelled in the vocabulary's letters first, as the library's splitter does.
@@ -144,6 +144,12 @@ class LibraryEncoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(vocabulary: str, end_id: int) -> LibraryEncoder:
+    """The encoder of a worker: the tasks that follow each other in it meet the same frequent words."""
+    return LibraryEncoder(vocabulary, end_id)
+
+
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
     part: list[str] = []
     size = 0
@@ -159,7 +165,7 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
 
 def _encoded(shared, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(shared.value, end_id)
+        encoder = _encoder(shared.value, end_id)
         for batch in batches:
             at = 0
             for texts in _chunks(batch.column(2).to_pylist()):
