@@ -8,9 +8,11 @@ inside a range, and adds the size of all earlier ranges.  Results are exact.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from quillmark.sources.session import bounded, materialize
 SMALL = 200_000
 # Rows that one task may rank in one window.
 RANGE_ROWS = 2_000_000
+# Rows that a quantile grid draws its cut points from (on average), and cells between two landmarks.
+CUT_SAMPLE = 100_000
+CELLS = 8
 
 
 def hash_key(key: str, seed: int) -> Column:
@@ -209,47 +214,128 @@ def nth_value(df: DataFrame, column: str, n: int, descending: bool = False, limi
     return values.orderBy("v").limit(rank).agg(F.max("v")).first()[0]
 
 
+def _cell(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Cell of each number: ``2 i + 1`` is the i-th cut itself, ``2 i`` lies between it and the cut before."""
+    at = np.searchsorted(cuts, x)
+    return 2 * at + (cuts[np.minimum(at, len(cuts) - 1)] == x)
+
+
+def _numbers(batch: pa.RecordBatch, j: int) -> np.ndarray:
+    x = batch.column(j).to_numpy(zero_copy_only=False).astype(float)
+    return x[~np.isnan(x)]
+
+
+def _cell_sizes(shared):
+    """Numbers in every cell of every column, counted over a whole task before they are handed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = [np.zeros(2 * len(cuts) + 1, np.int64) for cuts in shared.value]
+        for batch in batches:
+            for j, cuts in enumerate(shared.value):
+                if len(cuts):
+                    sizes[j] += np.bincount(_cell(_numbers(batch, j), cuts), minlength=len(sizes[j]))
+                else:
+                    sizes[j] += len(_numbers(batch, j))
+        for j, size in enumerate(sizes):
+            used = np.flatnonzero(size)
+            columns = [pa.array(np.full(len(used), j), pa.int32()), pa.array(used, pa.int32()), pa.array(size[used], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["feature", "cell", "c"])
+
+    return run
+
+
+def _cell_content(shared):
+    """The distinct numbers of a batch that lie in one of the cells asked for, with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j, (cuts, asked) in enumerate(shared.value):
+                if not asked.any():
+                    continue
+                x, c = np.unique(_numbers(batch, j), return_counts=True)
+                cell = _cell(x, cuts) if len(cuts) else np.zeros(len(x), np.int64)
+                kept = asked[cell]
+                columns = [pa.array(np.full(kept.sum(), j), pa.int32()), pa.array(cell[kept], pa.int32()), pa.array(x[kept]), pa.array(c[kept], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["feature", "cell", "value", "c"])
+
+    return run
+
+
+def _cuts(values: DataFrame, n: int) -> list[np.ndarray]:
+    """Distinct cut points of every column, about ``CELLS`` between two landmarks, from a bounded sample of rows."""
+    rows = values.count()
+    drawn = values if rows <= CUT_SAMPLE else values.sample(CUT_SAMPLE / rows, seed=1)
+    table, out = drawn.toArrow(), []
+    for j in range(len(values.columns)):
+        x = table.column(j).to_numpy().astype(float)
+        x = np.sort(x[~np.isnan(x)])
+        out.append(np.unique(x[np.linspace(0, len(x) - 1, min(len(x), CELLS * n)).astype(int)]) if len(x) else x)
+    return out
+
+
 def quantile_grid(df: DataFrame, columns: Sequence[str], n: int = 1000) -> DataFrame:
-    """``n`` evenly spaced quantiles per column, linear interpolation, exact.
+    """``n`` (two or more) evenly spaced quantiles per column, linear interpolation, exact.
 
     Returns ``feature, k, value`` with ``k`` from 0 to ``n - 1``; nulls and NaNs
-    are left out.  All columns share one aggregation over (feature, value), which
-    is stored because the steps below read it more than once.
+    are left out, and so is a column without any number.
+
+    The columns are stored once, as doubles.  Cut points from a sample of about
+    ``CUT_SAMPLE`` rows divide every column into cells; each task counts its
+    numbers by cell, and the exact sizes tell in which cell every landmark lies.
+    A landmark on a cut is known by then.  Of the other numbers only those in a
+    landmark's cell are shuffled, one part in ``CELLS`` or so.  The sample decides
+    how even the cells are, never the result; a cell that came out too long for
+    one task is ranked in ranges.  The driver sees ``columns x n`` rows.
     """
-    pairs = F.explode(
-        F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-            for c in columns
-        ])
-    )
-    counts = (
-        df.select(pairs.alias("p"))
-        .select("p.feature", "p.value")
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("feature", "value")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    counts = materialize(counts, "values")
-    placed = running_totals(counts, ["feature"], "value", ["c"])
-    totals, _ = bounded(counts.groupBy("feature").agg(F.sum("c").alias("total")), SMALL)
-    placed = attach(placed, totals, ["feature"], ["total"])
-    # Order positions [cum - c, cum) hold this value.  Grid point k sits at
-    # (total - 1) * k / (n - 1) and needs the values at its floor and ceiling.
-    placed = placed.select("feature", "value", "total", F.col("cum_c").alias("upto"), (F.col("cum_c") - F.col("c")).alias("before"))
-    first = F.expr(f"if(before = 0, 0L, ((before - 1) * {n - 1}L) div (total - 1) + 1)")
-    last = F.expr(f"if(upto = total, {n - 1}L, (upto * {n - 1}L - 1) div (total - 1))")
-    hits = (
-        placed.withColumn("lo", first).withColumn("hi", F.least(last, F.lit(n - 1)))
-        .where(F.col("lo") <= F.col("hi"))
-        .select("feature", "value", "total", F.explode(F.sequence("lo", "hi")).alias("k"))
-    )
-    position = (F.col("total") - 1) * F.col("k") / F.lit(float(n - 1))
-    return (
-        hits.groupBy("feature", "k")
-        .agg(F.min("value").alias("low"), F.max("value").alias("high"), F.max("total").alias("total"))
-        .select(
-            "feature",
-            "k",
-            (F.col("low") + (F.col("high") - F.col("low")) * (position - F.floor(position))).alias("value"),
+    spark = df.sparkSession
+    values = materialize(df.select(*[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(columns)]), "columns")
+    cuts = _cuts(values, n)
+    counted = values.mapInArrow(_cell_sizes(spark.sparkContext.broadcast(cuts)), "feature int, cell int, c long")
+    sizes = [np.zeros(2 * len(c) + 1, np.int64) for c in cuts]
+    for j, cell, c in counted.groupBy("feature", "cell").agg(F.sum("c")).collect():
+        sizes[j][cell] = c
+
+    # Grid point k sits at (total - 1) * k / (n - 1) and needs the numbers at its floor and ceiling.
+    ends, asked, ranks, longest = [np.cumsum(size) for size in sizes], [], [], 0
+    found: dict[tuple[int, int], float] = {}
+    for j, (size, end) in enumerate(zip(sizes, ends, strict=True)):
+        asked.append(np.zeros(len(size), bool))
+        if not end[-1]:
+            continue
+        floors = {(int(end[-1]) - 1) * k // (n - 1) for k in range(n)}
+        places = np.array(sorted(floors | {min(p + 1, int(end[-1]) - 1) for p in floors}))
+        cells = np.searchsorted(end, places, side="right")
+        for place, cell in zip(places.tolist(), cells.tolist(), strict=True):
+            if cell % 2:
+                found[j, place] = float(cuts[j][cell // 2])
+            else:
+                asked[j][cell] = True
+                ranks.append((j, cell, place, place - int(end[cell] - size[cell])))
+        longest = max(longest, int(size[asked[j]].max(initial=0)))
+    if ranks:
+        content = values.mapInArrow(
+            _cell_content(spark.sparkContext.broadcast(list(zip(cuts, asked, strict=True)))), "feature int, cell int, value double, c long"
+        ).groupBy("feature", "cell", "value").agg(F.sum("c").alias("c"))
+        if longest <= RANGE_ROWS:
+            upto = Window.partitionBy("feature", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+            placed = content.withColumn("cum_c", F.sum("c").over(upto))
+        else:
+            placed = running_totals(materialize(content, "cells"), ["feature", "cell"], "value", ["c"])
+        # at most two places a landmark, whatever the size of the table
+        wanted = spark.createDataFrame(ranks, "feature int, cell int, place long, rank long").groupBy("feature", "cell").agg(
+            F.collect_list(F.struct("place", "rank")).alias("wanted")
         )
-    )
+        hit = F.filter("wanted", lambda w: (w["rank"] >= F.col("cum_c") - F.col("c")) & (w["rank"] < F.col("cum_c")))
+        hits = placed.join(F.broadcast(wanted), ["feature", "cell"]).select("feature", "value", F.explode(hit).alias("w"))
+        for j, value, place in hits.select("feature", "value", "w.place").collect():
+            found[j, place] = value
+
+    out = []
+    for j, name in enumerate(columns):
+        last = int(ends[j][-1]) - 1
+        for k in range(n if last >= 0 else 0):
+            place, rest = divmod(last * k, n - 1)
+            low = found[j, place]
+            high = found[j, place + 1] if rest else low
+            out.append((name, k, low if low == high else low + (high - low) * (rest / (n - 1))))
+    return spark.createDataFrame(out, "feature string, k long, value double")

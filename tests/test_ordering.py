@@ -101,6 +101,46 @@ def test_quantile_grid(spark, monkeypatch, n, small):
         assert ours == pytest.approx(list(np.quantile(data, np.linspace(0, 1, n))))
 
 
+@pytest.mark.parametrize(("sample", "ranged"), [(100_000, 2_000_000), (15, 2_000_000), (15, 20)])
+def test_quantile_grid_does_not_depend_on_its_cuts(spark, monkeypatch, sample, ranged):
+    monkeypatch.setattr(O, "CUT_SAMPLE", sample)
+    monkeypatch.setattr(O, "RANGE_ROWS", ranged)
+    monkeypatch.setattr(O, "SMALL", 10)
+    rng = np.random.default_rng(5)
+    data = {
+        "even": rng.normal(size=600), "tied": rng.integers(0, 3, 600) * 1.0, "one": np.full(600, 7.0),
+        "hot": np.where(rng.random(600) < 0.4, 0.25, rng.exponential(size=600)), "rare": np.where(np.arange(600) == 311, 2.0, np.nan),
+        "none": np.full(600, np.nan),
+    }
+    rows = [tuple(None if v != v and i % 2 else float(v) for v in row) for i, row in enumerate(zip(*data.values()))]
+    grid = O.quantile_grid(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data)).repartition(5), list(data), 11)
+    assert grid.dtypes == [("feature", "string"), ("k", "bigint"), ("value", "double")]
+    got = {(r["feature"], r["k"]): r["value"] for r in grid.collect()}
+    assert {c for c, _ in got} == set(data) - {"none"}
+    for c in set(data) - {"none"}:
+        x = data[c][~np.isnan(data[c])]
+        assert [got[c, k] for k in range(11)] == pytest.approx(list(np.quantile(x, np.linspace(0, 1, 11))), rel=1e-12)
+
+
+def test_quantile_grid_shuffles_the_cells_of_landmarks_only(spark):
+    x = np.random.default_rng(6).permutation(20_000) * 1.0
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    cuts = O._cuts(df, 5)
+    asked = np.zeros(2 * len(cuts[0]) + 1, bool)
+    asked[2 * len(cuts[0]) // 2] = True
+    kept = df.mapInArrow(O._cell_content(spark.sparkContext.broadcast([(cuts[0], asked)])), "feature int, cell int, value double, c long")
+    assert 0 < kept.count() <= 2 * 20_000 / (5 * O.CELLS)
+
+
+def test_quantile_grid_of_an_empty_table(spark):
+    assert O.quantile_grid(spark.createDataFrame([], "x double"), ["x"], 5).count() == 0
+
+
+def test_quantile_grid_with_infinities(spark):
+    df = spark.createDataFrame([(v,) for v in (float("-inf"), 1.0, 2.0, float("inf"), float("inf"))], "x double")
+    assert [r["value"] for r in O.quantile_grid(df, ["x"], 5).orderBy("k").collect()] == [float("-inf"), 1.0, 2.0, float("inf"), float("inf")]
+
+
 def test_quantile_grid_of_one_row(spark):
     grid = O.quantile_grid(spark.createDataFrame([(3.0,)], "x double"), ["x"], 5).collect()
     assert [(r["k"], r["value"]) for r in sorted(grid)] == [(k, 3.0) for k in range(5)]
