@@ -136,6 +136,13 @@ def take_lowest(df: DataFrame, by: Sequence[str], key: str, quota: int | DataFra
     return kept.where(_within(key, seed, F.col("last_h"), F.col("last_key"))).select(*df.columns)
 
 
+def _lower_bounds(bounds: str, value: Column, size: int) -> Column:
+    """How many of the ascending ``bounds`` (at most ``size``) lie below ``value``, by halving steps."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(size.bit_length()))])
+    # a step beyond the last bound reads null and isn't taken
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) < value, at + step).otherwise(at))
+
+
 def running_totals(
     counts: DataFrame, by: Sequence[str], value: str, weights: Sequence[str], ranges: int | None = None
 ) -> DataFrame:
@@ -164,9 +171,7 @@ def running_totals(
         cut = attach(counts, cut_rows, by, ["_bounds"])
     else:
         cut = counts.withColumn("_bounds", F.array(*[F.lit(b) for b in cut_rows.first()["_bounds"]]))
-    cut = cut.withColumn(
-        "_range", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
-    ).drop("_bounds")
+    cut = cut.withColumn("_range", _lower_bounds("_bounds", F.col(value), ranges)).drop("_bounds")
     totals = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in weights])
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

@@ -101,6 +101,15 @@ def test_quantile_grid(spark, monkeypatch, n, small):
         assert ours == pytest.approx(list(np.quantile(data, np.linspace(0, 1, n))))
 
 
+@pytest.mark.parametrize("bounds", [[], [3.0], [1.0, 2.0], [1.0, 1.0, 2.0, 5.0, 5.0, 5.0, 9.0], [float(i // 3) for i in range(64)]])
+def test_lower_bounds(spark, bounds):
+    values = [-1.0, 0.0, 1.0, 1.5, 2.0, 5.0, 9.0, 20.5, 100.0, float("nan"), None]
+    df = spark.createDataFrame([(v, bounds) for v in values], "v double, b array<double>")
+    got = [r[0] for r in df.select(O._lower_bounds("b", F.col("v"), max(1, len(bounds)))).collect()]
+    inf = float("inf")
+    assert got == [0 if v is None else sum(b < (inf if v != v else v) for b in bounds) for v in values]
+
+
 @pytest.mark.parametrize(("sample", "ranged"), [(100_000, 2_000_000), (15, 2_000_000), (15, 20)])
 def test_quantile_grid_does_not_depend_on_its_cuts(spark, monkeypatch, sample, ranged):
     monkeypatch.setattr(O, "CUT_SAMPLE", sample)
