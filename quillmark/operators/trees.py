@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import metrics as M
 from quillmark.operators import scaling
+from quillmark.operators.concurrent import side_by_side
+from quillmark.sources.session import materialize
 
 # Models of at most so many rounds are fitted whole, and early stopping picks the round afterwards.  Longer ones begin
 # with FIRST_ROUNDS, and each next fit has twice as many.
@@ -23,6 +26,8 @@ WHOLE_ROUNDS = 512
 FIRST_ROUNDS = 128
 # Rows of one partition of a training table.
 LAYOUT_ROWS = 100_000
+# Random trees of one fit: every task of a fit receives all nodes that its trees have so far.
+TREES_AT_ONCE = 200
 
 # Appends P(class 1) of every row as a double column: score(df, out).
 Scorer = Callable[[DataFrame, str], DataFrame]
@@ -213,12 +218,27 @@ def fit_forest(
 ) -> Scorer:
     """Unbagged random trees with balanced class weights.
 
-    Cut points are searched, not drawn at random.
+    Cut points are searched, not drawn at random.  A forest is fitted in parts
+    of at most TREES_AT_ONCE trees side by side, and a score is the mean of all
+    trees.  The rows are dealt and stored once, so that a fit uses more than
+    the few tasks of a small file and doesn't weigh the rows again.
     """
-    forest = RandomForestClassifier(
-        featuresCol="_x", labelCol=label, probabilityCol="_p", weightCol="weight", numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=min_rows, featureSubsetStrategy="sqrt", bootstrap=False, seed=seed,
-    )
-    data = scaling.with_class_weight(train.where(F.col(label).isNotNull()), label)
-    model = forest.fit(assemble(data, columns).select(F.col(label).cast("double").alias(label), "weight", "_x"))
-    return lambda df, out: _probability(model, df, columns, out)
+    data = scaling.with_class_weight(train.where(F.col(label).isNotNull()), label).select(F.col(label).cast("double").alias(label), "weight", *columns)
+    stored = materialize(data.repartition(4 + data.count() // LAYOUT_ROWS, F.xxhash64(label, *columns)), "forest_rows")
+    dealt = assemble(stored, columns).select(label, "weight", "_x")
+
+    def part(number: int, size: int) -> RandomForestClassificationModel:
+        return RandomForestClassifier(
+            featuresCol="_x", labelCol=label, probabilityCol=f"_p{number}", rawPredictionCol="", predictionCol="", weightCol="weight", numTrees=size,
+            maxDepth=depth, minInstancesPerNode=min_rows, featureSubsetStrategy="sqrt", bootstrap=False, seed=seed + number,
+        ).fit(dealt)
+
+    sizes = [min(TREES_AT_ONCE, trees - at) for at in range(0, trees, TREES_AT_ONCE)]
+    models = side_by_side(train.sparkSession, [lambda i=i, n=n: part(i, n) for i, n in enumerate(sizes)])
+
+    def score(df: DataFrame, out: str) -> DataFrame:
+        scored = reduce(lambda d, m: m.transform(d), models, assemble(df, columns))
+        votes = [vector_to_array(f"_p{i}").getItem(1) * (n / trees) for i, n in enumerate(sizes)]
+        return scored.select(*df.columns, reduce(lambda a, b: a + b, votes).alias(out))
+
+    return score

@@ -250,3 +250,23 @@ def test_concurrent_search_equals_one_by_one(spark, monkeypatch):
         _, test = ensembles.stack_views(train, val.drop("label"), {"x": ["a"], "y": ["a", "b"]}, fit, k=2)
         both.append((sorted(map(tuple, found.collect())), sorted(map(tuple, test.collect()))))
     assert both[0] == both[1] and both[0][1]
+
+
+def test_random_trees_are_fitted_in_parts(parts, monkeypatch):
+    """No fit carries more than TREES_AT_ONCE trees, all trees are there, and their mean is the score."""
+    train, val = parts
+    fitted, classifier = [], trees.RandomForestClassifier
+
+    class Recorded(classifier):
+        def fit(self, data):
+            fitted.append((self.getNumTrees(), self.getSeed(), data.rdd.getNumPartitions()))
+            return super().fit(data)
+
+    monkeypatch.setattr(trees, "RandomForestClassifier", Recorded)
+    monkeypatch.setattr(trees, "TREES_AT_ONCE", 8)
+    scored = trees.fit_forest(train.coalesce(1), COLUMNS, trees=20)(val, "s")
+    assert sorted(n for n, _, _ in fitted) == [4, 8, 8] and len({seed for _, seed, _ in fitted}) == 3
+    assert min(p for _, _, p in fitted) > 1
+    assert scored.columns == [*val.columns, "s"] and _auc(scored, "s") > 0.8
+    low, high = scored.agg(F.min("s"), F.max("s")).first()
+    assert 0.0 <= low < 0.3 and 0.7 < high <= 1.0
