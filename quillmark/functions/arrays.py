@@ -72,24 +72,29 @@ def run_lengths(starts: Column, n: Column) -> Column:
     )
 
 
-# The characters that fill most of any text are counted one by one; only what
-# is left is sorted.  Purely a shortcut: any text gives the same counts.
-COMMON_CHARS = " etaoin"
+# The characters that fill most of any text are taken out and counted one after
+# the other, the frequent ones first; only what is left is sorted.  Purely a
+# shortcut: any text gives the same counts.
+COMMON_CHARS = " etaoinsrhldcumpfgwyb"
 
 
 def char_counts(c: Column) -> Column:
     """Multiplicity of every distinct character of a string."""
-    common = F.array(
-        *[
-            (F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))).cast("double")
-            for ch in COMMON_CHARS
-        ]
+    left = F.aggregate(
+        F.array(*[F.lit(ch) for ch in COMMON_CHARS]),
+        F.array(c),
+        lambda acc, ch: F.array_append(acc, F.replace(F.element_at(acc, -1), ch, F.lit(""))),
     )
-    rare = F.regexp_replace(c, f"[{COMMON_CHARS}]+", "")
-    joined = F.array_join(F.sort_array(F.split(rare, "")), "")
-    runs = F.regexp_extract_all(joined, F.lit(r"(?s)(.)\1*+"), F.lit(0))
-    counts = F.transform(runs, lambda r: F.length(r).cast("double"))
-    return F.concat(F.filter(common, lambda x: x > 0), counts)
+
+    def counted(texts: Column) -> Column:
+        lengths = F.transform(texts, lambda t: F.length(t).cast("double"))
+        common = F.transform(F.array(lengths), lambda a: F.zip_with(F.slice(a, 1, len(COMMON_CHARS)), F.slice(a, 2, len(COMMON_CHARS)), lambda x, y: x - y))
+        joined = F.array_join(F.sort_array(F.split(F.element_at(texts, -1), "")), "")
+        runs = F.regexp_extract_all(joined, F.lit(r"(?s)(.)\1*+"), F.lit(0))
+        rare = F.transform(runs, lambda r: F.length(r).cast("double"))
+        return F.concat(F.filter(F.get(common, F.lit(0)), lambda x: x > 0), rare)
+
+    return F.get(F.transform(F.array(left), counted), F.lit(0))
 
 
 def entropy(counts: Column, n: Column) -> Column:

@@ -119,3 +119,17 @@ def test_long_documents_stay_linear(spark):
     assert rows[2]["max_indent"] == 300_000
     assert rows[3]["bigram_repetition_ratio"] == 1 and rows[3]["token_entropy"] == 0
     assert rows[4]["n_single_comments"] == 1
+
+
+def test_most_characters_are_counted_without_sorting(spark):
+    """Only what the frequent characters leave over is sorted; the counts are those of every character."""
+    from collections import Counter
+
+    from quillmark.functions import arrays
+
+    english = "the quick brown fox jumps over a lazy dog and tells every other dog of the town about it"
+    assert sum(c in arrays.COMMON_CHARS for c in english) > 0.9 * len(english)
+    texts = ["", " ", "eee", "\n\n\t", "zzz$$(a.b)\\^[", english, "\U0001f600é\U0001f600 ", "Q|Q\x00"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", arrays.char_counts(F.col("t")).alias("n")).collect()
+    for r in rows:
+        assert sorted(r["n"]) == sorted(Counter(r["t"]).values()), r["t"]
