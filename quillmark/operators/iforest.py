@@ -134,8 +134,8 @@ def score(df: DataFrame, forest: DataFrame, columns: Sequence[str], psi: dict[in
     """Append one decision value per class forest (higher is more normal).
 
     ``psi`` is the sample size each forest was grown with.  All trees of a class
-    are one node array whose leaves lead to themselves, and a block of rows
-    walks down all of them at once.  At most ``MAX_NODES`` nodes are broadcast
+    lie side by side level by level, and a block of rows walks down all of them
+    at once.  At most ``MAX_NODES`` nodes are broadcast
     in one piece; a larger forest travels in several, whose paths add up.
     """
     columns = list(columns)
@@ -158,7 +158,8 @@ def score(df: DataFrame, forest: DataFrame, columns: Sequence[str], psi: dict[in
         pair = F.struct("class", "tree")
         low, high = (F.struct(F.lit(k).alias("class"), F.lit(t).alias("tree")) for k, t in (piece[0], piece[-1]))
         nodes = forest.where((pair >= low) & (pair <= high)).toPandas().sort_values(["class", "tree", "node"])
-        walk = _walker(df, {k: _stack(nodes[nodes["class"] == k]) for k in inside}, columns)
+        packed = {k: _stack(nodes[nodes["class"] == k]) for k in inside}
+        walk = _walker(df, packed, {k: sum(c == k for c, _ in piece) for k in inside}, columns)
         scored = scored.withColumn(f"_f{i}", walk(F.struct(*columns)))
         for k in inside:
             paths[k].append(F.col(f"_f{i}.p{k}"))
@@ -167,39 +168,49 @@ def score(df: DataFrame, forest: DataFrame, columns: Sequence[str], psi: dict[in
     return scored.select(*df.columns, *[(F.lit(0.5) - F.pow(F.lit(2.0), -mean[k] / F.lit(norm[k]))).alias(names[k]) for k in classes])
 
 
-def _stack(nodes: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """One node array of a class: features, cuts, both children, leaf values, and where the trees begin."""
+def _stack(nodes: pd.DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """All trees of a class level by level: features and cuts of the ``trees x 2^level`` places, then the leaf values.
+
+    A leaf above the lowest level leads to itself on both sides.  No tree is
+    deeper than ``log2(psi)``, so a level has at most ``trees x 2 psi`` places.
+    """
     size = nodes.groupby("tree", sort=True).size().to_numpy()
     roots = np.cumsum(size) - size
     shift = np.repeat(roots, size)
     own = np.arange(len(nodes))
-    leaf = nodes["feature"].to_numpy() < 0
-    left = np.where(leaf, own, nodes["left"].to_numpy() + shift).astype(np.int32)
-    right = np.where(leaf, own, nodes["right"].to_numpy() + shift).astype(np.int32)
-    return np.maximum(nodes["feature"].to_numpy(), 0).astype(np.int32), nodes["split"].to_numpy(), left, right, nodes["depth_score"].to_numpy(), roots.astype(np.int32)
-
-
-def _walker(df: DataFrame, packed: dict[int, tuple], columns: list[str]):
+    feature = nodes["feature"].to_numpy()
+    left = np.where(feature < 0, own, nodes["left"].to_numpy() + shift)
+    right = np.where(feature < 0, own, nodes["right"].to_numpy() + shift)
+    split, levels, at = nodes["split"].to_numpy(), [], roots[:, None]
+    while (feature[at] >= 0).any():
+        levels.append((np.maximum(feature[at], 0).ravel().astype(np.intp), split[at].ravel()))
+        at = np.stack([left[at], right[at]], axis=2).reshape(len(roots), -1)
+    return levels, nodes["depth_score"].to_numpy()[at].ravel()
+
+
+def _path_sums(x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], leaf: np.ndarray, trees: int) -> np.ndarray:
+    """Summed leaf values of each row; BLOCK_ROWS rows go down all trees at once, a level at a time."""
+    total = np.empty(len(x))
+    tree = np.arange(trees)
+    for a in range(0, len(x), BLOCK_ROWS):
+        block = np.ascontiguousarray(x[a : a + BLOCK_ROWS])
+        row = np.arange(len(block))[:, None] * block.shape[1]
+        at = np.broadcast_to(tree, (len(block), trees))
+        for feature, cut in levels:
+            # a missing value is not below the cut
+            goes_right = ~(block.ravel().take(feature.take(at) + row) <= cut.take(at))
+            at = 2 * at + goes_right
+        total[a : a + BLOCK_ROWS] = leaf.take(at).sum(axis=1)
+    return total
+
+
+def _walker(df: DataFrame, packed: dict[int, tuple], trees: dict[int, int], columns: list[str]):
     """Arrow UDF: summed path length of each row in the trees of each class."""
     shared = df.sparkSession.sparkContext.broadcast(packed)
 
     @F.pandas_udf(", ".join(f"p{k} double" for k in sorted(packed)))
     def walk(batch: pd.DataFrame) -> pd.DataFrame:
         x = batch[columns].to_numpy(dtype=float)
-        out = {}
-        for k, (feature, split, left, right, leaf, roots) in sorted(shared.value.items()):
-            total = np.empty(len(x))
-            for a in range(0, len(x), BLOCK_ROWS):
-                block = x[a : a + BLOCK_ROWS]
-                row = np.arange(len(block))[:, None]
-                at = np.broadcast_to(roots, (len(block), len(roots)))
-                while True:
-                    down = np.where(block[row, feature[at]] <= split[at], left[at], right[at])
-                    if np.array_equal(down, at):
-                        break
-                    at = down
-                total[a : a + BLOCK_ROWS] = leaf[at].sum(axis=1)
-            out[f"p{k}"] = total
-        return pd.DataFrame(out)
+        return pd.DataFrame({f"p{k}": _path_sums(x, levels, leaf, trees[k]) for k, (levels, leaf) in sorted(shared.value.items())})
 
     return walk

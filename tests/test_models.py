@@ -270,3 +270,25 @@ def test_random_trees_are_fitted_in_parts(parts, monkeypatch):
     assert scored.columns == [*val.columns, "s"] and _auc(scored, "s") > 0.8
     low, high = scored.agg(F.min("s"), F.max("s")).first()
     assert 0.0 <= low < 0.3 and 0.7 < high <= 1.0
+
+
+def test_walk_down_all_trees_a_level_at_a_time():
+    """Places of a level lie side by side; sums are those of walking each tree alone, missing values go right."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    grown = [iforest._grow(rng.normal(size=(40, 3)), np.random.default_rng(t), 6) for t in range(5)] + [[(-1, 0.0, -1, -1, 2.5)]]
+    rows = [(t, i, *node) for t, nodes in enumerate(grown) for i, node in enumerate(nodes)]
+    levels, leaf = iforest._stack(pd.DataFrame(rows, columns=["tree", "node", "feature", "split", "left", "right", "depth_score"]))
+    assert [len(f) for f, _ in levels] == [6 * 2**k for k in range(len(levels))] and len(levels) <= 6
+    x = rng.normal(size=(600, 3))
+    x[::7, 1] = np.nan
+
+    def alone(row, nodes):
+        at = 0
+        while nodes[at][0] >= 0:
+            at = nodes[at][2] if row[nodes[at][0]] <= nodes[at][1] else nodes[at][3]
+        return nodes[at][4]
+
+    expected = [sum(alone(row, nodes) for nodes in grown) for row in x]
+    assert iforest._path_sums(x, levels, leaf, 6) == pytest.approx(expected)
