@@ -28,6 +28,9 @@ SORTED = LENGTH - 2
 PIECE = 1 << 19
 CHUNK = 400_000
 
+#: Bits of the hash by which sampled suffixes are dealt; they travel with each of them.
+BUCKET_BITS = 20
+
 #: Ranges that are broadcast to the texts, at most.
 MOST_RANGES = 1_500_000
 
@@ -118,7 +121,25 @@ def _later(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 
 _ROW = ("anchor", "context", "doc", "first", "last", "lead", "cores")
-_ANCHORS = ", ".join(f"{name} long" for name in _ROW) + ", copy boolean"
+# What is shuffled of them.  A row of a shuffle holds a word per column, so the first start, the lead and the copy mark
+# share one (``place``, in this order).  An anchor's hash is only where contexts meet, so 48 bits of it will do.
+_ANCHORS = "anchor long, context long, doc long, place long, more int, cores long"
+_LEAD_BITS = 7
+_ANCHOR_BITS = 48
+
+
+def _pack_anchors(c: dict[str, np.ndarray], copy: np.ndarray) -> pa.RecordBatch:
+    place = (c["first"] << _LEAD_BITS | c["lead"]) << 1 | copy
+    more = (c["last"] - c["first"]).astype(np.int32)
+    columns = [c["anchor"] & (1 << _ANCHOR_BITS) - 1, c["context"], c["doc"], place, more, np.where(copy, 0, c["cores"])]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "context", "doc", "place", "more", "cores"])
+
+
+def _unpack_anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
+    anchor, context, doc, place, more, cores = (x.to_numpy() for x in batch.columns)
+    first, lead = place >> _LEAD_BITS + 1, place >> 1 & (1 << _LEAD_BITS) - 1
+    columns = [anchor, context, doc, first, first + more, lead, cores, (place & 1).astype(bool)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[*_ROW, "copy"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +154,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         goes_on = copy[1:] & copy[:-1] & (c["doc"][1:] == c["doc"][:-1]) & (c["first"][1:] == c["last"][:-1] + 1)
         heads = np.flatnonzero(np.concatenate([[True], ~goes_on]))
         last = c["last"][np.concatenate([heads[1:] - 1, [len(copy) - 1]])]
-        c, copy = {k: v[heads] for k, v in c.items()} | {"last": last}, copy[heads]
-        return pa.RecordBatch.from_arrays([*(pa.array(c[k]) for k in _ROW), pa.array(copy)], names=[*_ROW, "copy"])
+        return _pack_anchors({k: v[heads] for k, v in c.items()} | {"last": last}, copy[heads])
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -247,7 +267,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.concatenate([np.arange(len(stay) + 1) * SORTED, np.full(len(fd), len(stay) * SORTED)]).astype(np.int32)
         valid = np.packbits(np.arange(len(stay) + len(fd)) < len(stay), bitorder="little")
         triple = pa.Array.from_buffers(pa.binary(), len(stay) + len(fd), [pa.py_buffer(valid.tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(body.tobytes())])
-        bucket = np.concatenate([(digest[stay] >> np.uint64(33)).astype(np.int32), (fd % (1 << 31)).astype(np.int32)])
+        bucket = np.concatenate([(digest[stay] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), (fd % (1 << BUCKET_BITS)).astype(np.int32)])
         zeros = np.zeros(len(fd), np.int64)
         return pa.RecordBatch.from_arrays(
             [
@@ -369,9 +389,10 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     no common passage sends more than one row a task to any group.
     """
     cut = docs.select("doc", "text").mapInArrow(_anchors, _ANCHORS)
-    dealt = cut.repartition(F.when(F.col("copy"), F.xxhash64("doc", "first")).otherwise(F.col("anchor")))
-    ordered = dealt.sortWithinPartitions("copy", "anchor", "context", "doc", "first")
-    split = materialize(ordered.mapInArrow(_copies_and_rivals, _SPLIT), "split")
+    copy = F.col("place").bitwiseAND(1)
+    dealt = cut.repartition(F.when(copy == 1, F.xxhash64("doc", "place")).otherwise(F.col("anchor")))
+    ordered = dealt.sortWithinPartitions(copy, "anchor", "context", "doc", "place")
+    split = materialize(ordered.mapInArrow(lambda batches: _copies_and_rivals(map(_unpack_anchors, batches)), _SPLIT), "split")
     whole = split.where("anchor is null").select("doc", "first", "last")
 
     # strings of two contexts can only be equal in a range whose core they share
