@@ -28,9 +28,6 @@ SORTED = LENGTH - 2
 PIECE = 1 << 19
 CHUNK = 400_000
 
-#: Bits of the hash by which sampled suffixes are dealt; they travel with each of them.
-BUCKET_BITS = 20
-
 #: Ranges that are broadcast to the texts, at most.
 MOST_RANGES = 1_500_000
 
@@ -121,24 +118,26 @@ def _later(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 
 _ROW = ("anchor", "context", "doc", "first", "last", "lead", "cores")
-# What is shuffled of them.  A row of a shuffle holds a word per column, so the first start, the lead and the copy mark
-# share one (``place``, in this order).  An anchor's hash is only where contexts meet, so 48 bits of it will do.
-_ANCHORS = "anchor long, context long, doc long, place long, more int, cores long"
-_LEAD_BITS = 7
-_ANCHOR_BITS = 48
+# What is shuffled of them.  A row of a shuffle holds a word per column, so ``place`` is the first start (31 bits), the
+# starts behind it and, unless it is a copy, the lead (31 bits), and the copy mark.  An anchor's hash is only where
+# contexts meet, so 40 bits of it will do.
+_ANCHORS = "anchor long, context long, doc long, place long, cores long"
+_ANCHOR_BITS = 40
+assert max(LENGTH - ANCHOR, WINDOW) < 256
 
 
 def _pack_anchors(c: dict[str, np.ndarray], copy: np.ndarray) -> pa.RecordBatch:
-    place = (c["first"] << _LEAD_BITS | c["lead"]) << 1 | copy
-    more = (c["last"] - c["first"]).astype(np.int32)
-    columns = [c["anchor"] & (1 << _ANCHOR_BITS) - 1, c["context"], c["doc"], place, more, np.where(copy, 0, c["cores"])]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "context", "doc", "place", "more", "cores"])
+    more = c["last"] - c["first"]
+    place = c["first"] << 32 | np.where(copy, more, c["lead"] << 8 | more) << 1 | copy
+    columns = [c["anchor"] & (1 << _ANCHOR_BITS) - 1, c["context"], c["doc"], place, np.where(copy, 0, c["cores"])]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "context", "doc", "place", "cores"])
 
 
 def _unpack_anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
-    anchor, context, doc, place, more, cores = (x.to_numpy() for x in batch.columns)
-    first, lead = place >> _LEAD_BITS + 1, place >> 1 & (1 << _LEAD_BITS) - 1
-    columns = [anchor, context, doc, first, first + more, lead, cores, (place & 1).astype(bool)]
+    """Rows as they were; copies have neither lead nor cores."""
+    anchor, context, doc, place, cores = (x.to_numpy() for x in batch.columns)
+    copy, first, rest = (place & 1).astype(bool), place >> 32, place >> 1 & (1 << 31) - 1
+    columns = [anchor, context, doc, first, first + np.where(copy, rest, rest & 255), np.where(copy, 0, rest >> 8), cores, copy]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[*_ROW, "copy"])
 
 
@@ -228,7 +227,7 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.unique(base + np.arange(lengths.sum()))
 
 
-_SAMPLES = "bucket int, triple binary, doc long, at long, around long, last long"
+_SAMPLES = "triple binary, doc long, at long, around long"
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +235,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     ``around``: two bytes before, two behind, and a bit for each shift at which a
     string in doubt starts.  A string that starts earlier in the same task, too,
-    comes out as found (null triple) and asks no more.
+    comes out as found (null triple, last start in place of ``around``) and asks no more.
     """
     held: list[tuple] = []
     size = 0
@@ -267,14 +266,9 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.concatenate([np.arange(len(stay) + 1) * SORTED, np.full(len(fd), len(stay) * SORTED)]).astype(np.int32)
         valid = np.packbits(np.arange(len(stay) + len(fd)) < len(stay), bitorder="little")
         triple = pa.Array.from_buffers(pa.binary(), len(stay) + len(fd), [pa.py_buffer(valid.tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(body.tobytes())])
-        bucket = np.concatenate([(digest[stay] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), (fd % (1 << BUCKET_BITS)).astype(np.int32)])
-        zeros = np.zeros(len(fd), np.int64)
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(bucket, pa.int32()), triple, pa.array(np.concatenate([doc[stay], fd]), pa.int64()), pa.array(np.concatenate([local[stay], fa]), pa.int64()),
-                pa.array(np.concatenate([around, zeros]), pa.int64()), pa.array(np.concatenate([np.zeros(len(stay), np.int64), end]), pa.int64()),
-            ],
-            names=["bucket", "triple", "doc", "at", "around", "last"],
+            [triple, *(pa.array(np.concatenate(x), pa.int64()) for x in ((doc[stay], fd), (local[stay], fa), (around, end)))],
+            names=["triple", "doc", "at", "around"],
         )
 
     done = 0
@@ -334,14 +328,14 @@ def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: bytes | None = None
     seen: set[int] = set()
     for batch in batches:
-        found = batch.filter(pc.is_null(batch.column(1)))
-        docs, firsts, ends = [found.column(2).to_numpy()], [found.column(3).to_numpy()], [found.column(5).to_numpy()]
-        rows = batch.filter(pc.is_valid(batch.column(1)))
+        found = batch.filter(pc.is_null(batch.column(0)))
+        docs, firsts, ends = ([found.column(i).to_numpy()] for i in (1, 2, 3))
+        rows = batch.filter(pc.is_valid(batch.column(0)))
         if rows.num_rows:
-            start = np.frombuffer(rows.column(1).buffers()[1], np.int32)[rows.column(1).offset : rows.column(1).offset + rows.num_rows + 1]
-            body = np.frombuffer(rows.column(1).buffers()[2], np.uint8)[start[0] : start[-1]].reshape(-1, SORTED)
+            start = np.frombuffer(rows.column(0).buffers()[1], np.int32)[rows.column(0).offset : rows.column(0).offset + rows.num_rows + 1]
+            body = np.frombuffer(rows.column(0).buffers()[2], np.uint8)[start[0] : start[-1]].reshape(-1, SORTED)
             name = np.concatenate([[0], np.cumsum((body[1:] != body[:-1]).any(axis=1))])
-            doc, at, around = (rows.column(i).to_numpy() for i in (2, 3, 4))
+            doc, at, around = (rows.column(i).to_numpy() for i in (1, 2, 3))
             goes_on = last is not None and body[0].tobytes() == last
             if not goes_on:
                 seen = set()
@@ -412,7 +406,8 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
 
     texts = docs.join(_light(spots), docs.doc == F.col("d")).select("doc", "text", "firsts", "lasts")
     samples = texts.mapInArrow(_sampled, _SAMPLES)
-    ordered = samples.repartition("bucket").sortWithinPartitions("triple", "doc", "at")
+    dealt = samples.repartition(F.when(F.col("triple").isNull(), F.xxhash64("doc")).otherwise(F.xxhash64("triple")))
+    ordered = dealt.sortWithinPartitions("triple", "doc", "at")
     return whole.unionByName(ordered.mapInArrow(_adjacent, "doc long, first long, last long"))
 
 
