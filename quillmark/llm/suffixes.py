@@ -386,7 +386,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     copy = F.col("place").bitwiseAND(1)
     dealt = cut.repartition(F.when(copy == 1, F.xxhash64("doc", "place")).otherwise(F.col("anchor")))
     ordered = dealt.sortWithinPartitions(copy, "anchor", "context", "doc", "place")
-    split = materialize(ordered.mapInArrow(lambda batches: _copies_and_rivals(map(_unpack_anchors, batches)), _SPLIT), "split")
+    split = materialize(ordered.mapInArrow(lambda batches: _copies_and_rivals(map(_unpack_anchors, batches)), _SPLIT), "split", "zstd")
     whole = split.where("anchor is null").select("doc", "first", "last")
 
     # strings of two contexts can only be equal in a range whose core they share
