@@ -87,7 +87,8 @@ def char_counts(c: Column) -> Column:
     )
 
     def counted(texts: Column) -> Column:
-        lengths = F.transform(texts, lambda t: F.length(t).cast("double"))
+        # the characters taken out are single bytes; a length in bytes is known without walking the text
+        lengths = F.transform(texts, lambda t: F.octet_length(t).cast("double"))
         common = F.transform(F.array(lengths), lambda a: F.zip_with(F.slice(a, 1, len(COMMON_CHARS)), F.slice(a, 2, len(COMMON_CHARS)), lambda x, y: x - y))
         joined = F.array_join(F.sort_array(F.split(F.element_at(texts, -1), "")), "")
         runs = F.regexp_extract_all(joined, F.lit(r"(?s)(.)\1*+"), F.lit(0))

@@ -133,3 +133,19 @@ def test_most_characters_are_counted_without_sorting(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", arrays.char_counts(F.col("t")).alias("n")).collect()
     for r in rows:
         assert sorted(r["n"]) == sorted(Counter(r["t"]).values()), r["t"]
+
+
+def test_frequent_characters_are_counted_by_bytes(spark):
+    """What is left of a text is not walked once more for each frequent character; wide characters count once."""
+    from collections import Counter
+
+    from quillmark.functions import arrays
+
+    assert arrays.COMMON_CHARS.isascii()
+    texts = ["", None, "zebra tr\u00e9\u00e9e", "\U0001f600a\u4e2d\u4e2d b\U0001f600\U0001f600", "e" * 70_000 + "\u3fff\u4000"]
+    counted = spark.createDataFrame([(t,) for t in texts], "t string").select("t", arrays.char_counts(F.col("t")).alias("n"))
+    assert "octet_length" in counted._jdf.queryExecution().toString()
+    for r in counted.collect():
+        if r["t"]:
+            found = Counter(r["t"])
+            assert r["n"] == [found[c] for c in [*arrays.COMMON_CHARS, *sorted(set(found) - set(arrays.COMMON_CHARS))] if c in found]
