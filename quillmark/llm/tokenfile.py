@@ -24,10 +24,10 @@ RUN_ROWS = 1_000
 MOST_RUNS = 4096
 BLOCK_IDS = 1 << 18
 #: Words a worker remembers; twice as many while the older half is fading.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 500_000
 
-#: Lengths (1 to 4 bytes) of the four values that a control byte stands for, two bits each from the lowest on.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
+#: Lengths (1 to 4 bytes) of the four values that a control byte stands for, two bits each from the lowest on; a byte each.
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8).view("<u4").ravel()
 
 
 # ---- the code -----------------------------------------------------------------------------------------------------
@@ -40,20 +40,27 @@ def pack_all(values: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, bytes]
     filled up with zeros.
     """
     values, counts = np.ascontiguousarray(values, "<u4"), np.asarray(counts, np.int64)
-    extra = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    width = int(extra.max(initial=0)) + 1
-    data = values.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width, dtype=np.uint8) <= extra[:, None]].tobytes()
-    fours = (counts + 3) // 4
-    ends = np.cumsum(counts)
-    at = np.concatenate([[0], np.cumsum(fours)])
-    padded = np.zeros(int(at[-1]) * 4, np.uint8)
-    padded[np.arange(len(values)) + np.repeat(at[:-1] * 4 - (ends - counts), counts)] = extra
-    padded = padded.reshape(-1, 4)
-    control = (padded[:, 0] | padded[:, 1] << 2 | padded[:, 2] << 4 | padded[:, 3] << 6).astype(np.uint8).tobytes()
-    bytes_upto = np.concatenate([[0], np.cumsum(extra, dtype=np.int64) + np.arange(1, len(extra) + 1)])
-    edges = bytes_upto[np.concatenate([[0], ends])].tolist()
-    at = at.tolist()
-    return [(control[at[k] : at[k + 1]], data[edges[k] : edges[k + 1]]) for k in range(len(counts))]
+    largest = int(values.max(initial=0))
+    width = max(1, (largest.bit_length() + 7) // 8)
+    extra = (values > 0xFF).view(np.uint8)
+    for limit in (0xFFFF, 0xFFFFFF)[: max(0, width - 2)]:
+        extra = extra + (values > limit)
+    # only the bytes that the largest value takes are looked at
+    size = 4 if width == 3 else width
+    used = np.empty((len(values), size), bool)
+    used[:, 0] = True
+    for k in range(1, size):
+        np.greater_equal(extra, k, out=used[:, k])
+    data = values.astype(f"<u{size}").view(np.uint8)[used.ravel()].tobytes()
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    bytes_upto = (edges + np.concatenate([[0], np.cumsum(extra, dtype=np.int64)])[edges]).tolist()
+    at = np.concatenate([[0], np.cumsum((counts + 3) // 4)]).tolist()
+    padded, edges = np.zeros(at[-1] * 4, np.uint8), edges.tolist()
+    for k in range(len(counts)):
+        padded[4 * at[k] : 4 * at[k] + edges[k + 1] - edges[k]] = extra[edges[k] : edges[k + 1]]
+    fours = padded.view("<u4")
+    control = (fours | fours >> 6 | fours >> 12 | fours >> 18).astype(np.uint8).tobytes()
+    return [(control[at[k] : at[k + 1]], data[bytes_upto[k] : bytes_upto[k + 1]]) for k in range(len(counts))]
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -64,17 +71,18 @@ def unpack_all(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.
     """All values of several runs: a table look-up turns control bytes into lengths, their running sum into places."""
     counts = np.asarray(counts, np.int64)
     fours = (counts + 3) // 4 * 4
-    lengths = LENGTHS[control].ravel()
-    inside = np.arange(len(lengths)) - np.repeat(np.cumsum(fours) - fours, fours)
-    lengths = lengths[inside < np.repeat(counts, fours)]
-    places = np.cumsum(lengths) - lengths
-    padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
-    values = padded[places]
-    for k in range(1, 4):
+    lengths, ends, filled = LENGTHS[control].view(np.uint8), np.cumsum(fours), fours - counts
+    if filled.any():
+        real = np.ones(len(lengths), bool)
+        for k in range(1, 4):
+            real[ends[filled >= k] - k] = False
+        lengths = lengths[real]
+    places = np.cumsum(lengths, dtype=np.int64) - lengths
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    values = padded[places].astype(np.uint32)
+    for k in range(1, int(lengths.max(initial=1))):
         more = np.flatnonzero(lengths > k)
-        if len(more) == 0:
-            break
-        values[more] |= padded[places[more] + k] << np.uint32(8 * k)
+        values[more] |= padded[places[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return values
 
 
@@ -95,7 +103,7 @@ class _Memory(dict):
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
-            ids = [t.id for t in self.tokenize(word.encode("utf-8").decode("latin-1").translate(_SPELLING))]
+            ids = [t.id for t in self.tokenize(_spelled(word))]
             found = struct.pack(f"<{len(ids)}{self.code}", *ids)
         self[word] = found
         return found
@@ -104,6 +112,13 @@ class _Memory(dict):
 _SPELLING = {b: letter for letter, b in byte_letters().items()}
 
 
+def _spelled(word: str) -> str:
+    """``word`` in the vocabulary's letters; of the printable ASCII characters only the space has another one."""
+    if word.isascii() and word.isprintable():
+        return word.replace(" ", _SPELLING[0x20])
+    return word.encode("utf-8").decode("latin-1").translate(_SPELLING)
+
+
 @functools.lru_cache(maxsize=2)
 def _library(vocabulary: str) -> tuple[Tokenizer, int]:
     """The tokenizer of a vocabulary file and its largest id; a worker reads it once for all of its tasks."""

@@ -1,6 +1,7 @@
 """The document operators against slow versions, on messy and empty tables."""
 
 import sys
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -200,6 +201,42 @@ def test_packing_round_trips():
         assert np.array_equal(tokenfile.unpack(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), n), values)
 
 
+def test_packing_holds_few_bytes_an_id():
+    rng = np.random.default_rng(0)
+    counts = rng.integers(1, 2000, 300)
+    values = np.minimum(rng.pareto(0.6, counts.sum()) * 20, 50_256).astype(np.uint32)
+    peaks = []
+    tracemalloc.start()
+    packed = tokenfile.pack_all(values, counts)
+    peaks.append(tracemalloc.get_traced_memory()[1])
+    control, data = (np.frombuffer(b"".join(x), np.uint8) for x in zip(*packed, strict=True))
+    tracemalloc.reset_peak()
+    held = tracemalloc.get_traced_memory()[0]
+    assert np.array_equal(tokenfile.unpack_all(control, data, counts), values)
+    peaks.append(tracemalloc.get_traced_memory()[1] - held)
+    tracemalloc.stop()
+    assert max(peaks) < 32 * len(values)
+
+
+def test_packing_of_several_runs_and_widths():
+    rng = np.random.default_rng(1)
+    for largest in (0, 0xFF, 0x100, 0xFFFF, 0x10000, 0xFFFFFF, 0x1000000, 0xFFFFFFFF):
+        counts = np.array([0, 5, 1, 0, 0, 7, 4, 3, 2, 0])
+        values = np.append(rng.integers(0, largest, counts.sum() - 1, endpoint=True), largest).astype(np.uint32)
+        packed = tokenfile.pack_all(values, counts)
+        parts = np.split(values, np.cumsum(counts)[:-1])
+        assert packed == [tokenfile.pack(part) for part in parts]
+        control, data = (np.frombuffer(b"".join(x), np.uint8) for x in zip(*packed, strict=True))
+        assert len(data) == sum(max(1, (int(v).bit_length() + 7) // 8) for v in values)
+        assert np.array_equal(tokenfile.unpack_all(control, data, counts), values)
+
+
+def test_words_are_spelled_in_the_letters_of_the_vocabulary():
+    for point in [*range(0x250), 0x2028, 0x1F600]:
+        for word in (chr(point), " " + chr(point), chr(point) + " b"):
+            assert tokenfile._spelled(word) == "".join(tokenfile._SPELLING[b] for b in word.encode("utf-8"))
+
+
 def test_token_file_reads_back(spark, docs, rows, library, monkeypatch):
     monkeypatch.setattr(tokenfile, "RUN_ROWS", 10)
     monkeypatch.setattr(tokenfile, "BLOCK_IDS", 500)
