@@ -235,6 +235,24 @@ def test_side_by_side_keeps_order_and_raises(spark):
     assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
 
 
+def test_side_by_side_begins_in_order(spark, monkeypatch):
+    import time
+
+    from quillmark.operators.concurrent import side_by_side
+
+    kind, began = type(spark.sparkContext), []
+    put = kind.setLocalProperty
+
+    def late_first(context, key, value):
+        if value == "side-by-side-0":
+            time.sleep(0.3)
+        put(context, key, value)
+
+    monkeypatch.setattr(kind, "setLocalProperty", late_first)
+    side_by_side(spark, [lambda i=i: began.append(i) for i in range(4)], 4)
+    assert began == [0, 1, 2, 3]
+
+
 def test_concurrent_search_equals_one_by_one(spark, monkeypatch):
     from quillmark.operators import concurrent, ensembles, trees
 
