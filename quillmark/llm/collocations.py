@@ -27,6 +27,10 @@ LOCAL_SUPPORT = 4
 SHARD_WORDS = 6_000_000
 #: Bits of the map that the union of locally frequent phrases travels as: 8 MB, whatever the input.
 MAP_BITS = 26
+#: Where shards of that size would report phrases seen so often or less, phrases are counted level by level instead.
+LEAST_LOCAL = 2
+#: Words of one stored piece of numbered text.
+PIECE_WORDS = 1 << 18
 #: Batches are tokenised in joined stretches of about so many bytes.
 STRETCH = 1 << 20
 
@@ -195,6 +199,185 @@ def _exact_counts(shared, size: int):
     return run
 
 
+def _word_counts(size: int):
+    """First level: occurrences of every word, shard by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _shards(batches, size):
+            counts = np.bincount(part.at[part.at >= 0], minlength=len(part.words))
+            for a in range(0, len(part.words), 50_000):
+                words = [w.decode("utf-8", "replace") for w in part.words[a : a + 50_000]]
+                yield pa.RecordBatch.from_arrays([pa.array([part.lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(counts[a : a + 50_000])], names=["lang", "phrase", "f"])
+
+    return run
+
+
+class Dictionary:
+    """Numbers of the frequent words of every language: their places in the order of their hashes."""
+
+    def __init__(self, langs: list[str], words: list[str]) -> None:
+        self.langs = sorted(set(langs))
+        number = {lang: i for i, lang in enumerate(self.langs)}
+        salts = [xxhash.xxh64_intdigest(lang.encode("utf-8", "replace")) for lang in self.langs]
+        own = np.array([number[lang] for lang in langs], np.int32)
+        raw = [w.encode("utf-8", "replace") for w in words]
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, salts[i]) for i, w in zip(own.tolist(), raw, strict=True)), np.uint64, len(raw))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.own = hashes[order], own[order]
+        self.joined = b"".join([raw[i] for i in order.tolist()])
+        self.ends = np.concatenate([[0], np.cumsum([len(raw[i]) for i in order.tolist()], dtype=np.int64)])
+
+    def word(self, number: int) -> bytes:
+        return self.joined[self.ends[number] : self.ends[number + 1]]
+
+    def numbers(self, part: Part) -> np.ndarray:
+        """The number of each word of ``part``, -1 for one that is not frequent; equal hashes are told apart by the words."""
+        out = np.full(len(part.words), -1, np.int32)
+        if part.lang not in self.langs or not len(part.words):
+            return out
+        lang, at = self.langs.index(part.lang), np.searchsorted(self.hashes, part.hashes)
+        hits = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] == part.hashes)
+        for i, j in zip(hits.tolist(), at[hits].tolist(), strict=True):
+            while j < len(self.hashes) and self.hashes[j] == part.hashes[i]:
+                if self.own[j] == lang and self.word(j) == part.words[i]:
+                    out[i] = j
+                    break
+                j += 1
+        return out
+
+
+def _numbered(shared, size: int):
+    """Runs of two or more frequent words as their numbers, with -1 behind each run; pieces end with a run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _shards(batches, size):
+            ids = np.append(np.append(shared.value.numbers(part), np.int32(-1))[np.maximum(part.at, -1)], np.int32(-1))
+            pairs = (ids[:-1] >= 0) & (ids[1:] >= 0)
+            kept = np.append(pairs, False)
+            kept[1:] |= pairs
+            behind = ~kept
+            behind[1:] &= kept[:-1]
+            behind[0] = False
+            ids = np.where(kept, ids, np.int32(-1))[kept | behind]
+            stops = np.flatnonzero(ids < 0) + 1
+            cuts = np.unique(stops[np.searchsorted(stops, np.arange(PIECE_WORDS, len(ids), PIECE_WORDS))]) if len(ids) else []
+            for piece in np.split(ids, cuts):
+                if len(piece):
+                    yield pa.RecordBatch.from_arrays([pa.array([piece.astype("<i4").tobytes()], pa.binary())], names=["ids"])
+
+    return run
+
+
+def _number_codes(numbers: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of phrases given as the numbers of their words; the leading MAP_BITS are their place in a map."""
+    h = np.full(len(numbers[0]), len(numbers), np.uint64)
+    for n in numbers:
+        h = (h ^ n.astype(np.uint64)) * _STEP
+        h ^= h >> np.uint64(29)
+    return h * _MIX
+
+
+def _level_counts(k: int, maps: list, size: int):
+    """Occurrences of the phrases of ``k`` frequent words whose shorter parts are in the maps of their levels.
+
+    A phrase is its word numbers, two in a 64-bit number, so counts are exact.
+    """
+
+    def counted(ids: np.ndarray) -> pa.RecordBatch:
+        good = ids >= 0
+        for level, shared in enumerate(maps, 2):
+            place = np.flatnonzero(good[:-1] & good[1:])
+            bits = (_number_codes([ids[place + j] for j in range(level)]) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+            bitmap = np.frombuffer(shared.value, np.uint64)
+            good = np.zeros(len(ids), bool)
+            good[place[(bitmap[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]] = True
+        place = np.flatnonzero(good[:-1] & good[1:])
+        number = ids[place].astype(np.int64)
+        for j in range(1, k - 1):
+            number = np.unique(number << 32 | ids[place + j], return_inverse=True)[1]
+        _, first, counts = np.unique(number << 32 | ids[place + k - 1], return_index=True, return_counts=True)
+        words = [ids[place[first] + j].astype(np.int64) for j in range(k)]
+        keys = [words[j] << 32 | words[j + 1] if j + 1 < k else words[j] for j in range(0, k, 2)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(counts.astype(np.int64))], names=[*(f"w{j}" for j in range(len(keys))), "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for piece in batch.column(0):
+                held.append(np.frombuffer(piece.as_buffer(), "<i4"))
+                if sum(map(len, held)) >= size:
+                    yield counted(np.concatenate(held))
+                    held = []
+        if held:
+            yield counted(np.concatenate(held))
+
+    return run
+
+
+def _words_of(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
+    keys = [c.to_numpy() for c in batch.columns[: (k + 1) // 2]]
+    return [keys[j // 2] >> 32 if j % 2 == 0 and j + 1 < k else keys[j // 2] & 0xFFFFFFFF for j in range(k)]
+
+
+def _codes_of(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_number_codes(_words_of(batch, k)).view(np.int64))], names=["code"])
+
+    return run
+
+
+def _spelled(shared, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            numbers = [n.tolist() for n in _words_of(batch, k)]
+            phrases = [b" ".join(map(known.word, some)).decode("utf-8", "replace") for some in zip(*numbers, strict=True)]
+            langs = [known.langs[known.own[n]] for n in numbers[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array([k] * len(phrases), pa.int32()), batch.column(batch.num_columns - 1)], names=["lang", "phrase", "k", "f"])
+
+    return run
+
+
+def _bitmap(codes: DataFrame) -> bytes:
+    """The map of the leading bits of the column ``code``."""
+    bit = F.shiftrightunsigned("code", 64 - MAP_BITS)
+    bits = codes.select(bit.alias("bit")).selectExpr("cast(shiftright(bit, 6) as int) as word", "shiftleft(1L, cast(bit & 63 as int)) as mask")
+    table = bits.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bitmap = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    bitmap[table["word"].to_numpy()] = table["mask"].to_numpy().view(np.uint64)
+    return bitmap.tobytes()
+
+
+def _level_by_level(rows: DataFrame, support: int, size: int) -> DataFrame:
+    """Exact counts of the frequent phrases, one length after the other over all shards.
+
+    Shards report every phrase whose two shorter parts are frequent in the
+    whole, none that one shard alone can't rule out; frequent words are numbered
+    and the text is kept as their numbers, so it is tokenised twice only.
+    """
+    context = rows.sparkSession.sparkContext
+    words = rows.mapInArrow(_word_counts(size), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    words = materialize(words.where(F.col("f") >= support), "words")
+    listed = words.select("lang", "phrase").toArrow()
+    phrases = words.select("lang", "phrase", F.lit(1).alias("k"), "f")
+    if not listed.num_rows:
+        return phrases
+    shared = context.broadcast(Dictionary(listed["lang"].to_pylist(), listed["phrase"].to_pylist()))
+    text = materialize(rows.mapInArrow(_numbered(shared, size), "ids binary"), "numbered", "zstd")
+    maps: list = []
+    for k in range(2, LONGEST + 1):
+        keys = [f"w{j}" for j in range((k + 1) // 2)]
+        counted = text.mapInArrow(_level_counts(k, maps, size), ", ".join(f"{c} long" for c in [*keys, "f"]))
+        level = materialize(counted.groupBy(*keys).agg(F.sum("f").alias("f")).where(F.col("f") >= support), f"phrases{k}")
+        phrases = phrases.unionByName(level.mapInArrow(_spelled(shared, k), "lang string, phrase string, k int, f long"))
+        if level.isEmpty():
+            break
+        if k < LONGEST:
+            maps = [*maps, context.broadcast(_bitmap(level.mapInArrow(_codes_of(k), "code long")))]
+    return phrases
+
+
 def word_totals(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """``lang, n``: words of every language (null counts as NO_LANGUAGE) that has any."""
     word = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
@@ -218,9 +401,8 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, text: str = "text"
     Shards have ``LOCAL_SUPPORT / support`` of all words, but at most
     SHARD_WORDS; where many small partitions hold less, fewer tasks read them.
     Beyond ``support * SHARD_WORDS / LOCAL_SUPPORT`` words the local support
-    falls; from ``support * SHARD_WORDS`` on it is 1, and shards report all
-    their distinct phrases: still exact, but larger inputs want a larger
-    ``support`` or larger shards.
+    falls; where it would be LEAST_LOCAL or less and shards would report nearly
+    all their distinct phrases, phrases are counted level by level instead.
     """
     small_batches(docs)
     spark = docs.sparkSession
@@ -232,16 +414,13 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, text: str = "text"
     rows = rows.coalesce(wanted) if parts > wanted else rows
     rows = rows.join(small(totals), "lang").select("lang", "n", "text")
 
+    if support * size <= LEAST_LOCAL * words:
+        return materialize(_level_by_level(rows, support, size), "phrases"), totals
     found = rows.mapInArrow(_local_supports(support, size), "lang string, code long, over long")
     found = materialize(found.groupBy("lang", "code").agg(F.sum("over").alias("over")), "found")
     unseen = found.where("code is null").select(F.col("lang").alias("in"), F.col("over").alias("unseen"))
     union = found.where("code is not null").join(small(unseen), F.col("lang") == F.col("in")).where(F.col("over") + F.col("unseen") >= support)
-    bit = F.shiftrightunsigned("code", 64 - MAP_BITS)
-    bits = union.select(bit.alias("bit")).selectExpr("cast(shiftright(bit, 6) as int) as word", "shiftleft(1L, cast(bit & 63 as int)) as mask")
-    table = bits.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    bitmap = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    bitmap[table["word"].to_numpy()] = table["mask"].to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(bitmap.tobytes())
+    shared = spark.sparkContext.broadcast(_bitmap(union))
     counted = rows.mapInArrow(_exact_counts(shared, size), "lang string, phrase string, k int, f long")
     summed = counted.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= support)
     return materialize(summed, "phrases"), totals

@@ -62,6 +62,32 @@ def test_small_shards_change_nothing(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("support", [2, 3, 40])
+def test_phrases_level_by_level(spark, monkeypatch, support):
+    """Where shards would report all they hold; before, they did."""
+    df = helpers.messy(spark)
+    expected = plain_collocations([(r.lang, r.text) for r in df.collect()], support)
+    monkeypatch.setattr(collocations, "_local_supports", lambda *_: pytest.fail("shards report all their phrases"))
+    monkeypatch.setattr(collocations, "SHARD_WORDS", 100)
+    monkeypatch.setattr(collocations, "PIECE_WORDS", 16)
+    monkeypatch.setattr(collocations, "LEAST_LOCAL", support)
+    assert sorted(map(tuple, collocations.collocations(df.repartition(5), support).collect())) == expected
+    # a map whose bits are all set rules nothing out and changes nothing
+    monkeypatch.setattr(collocations, "_bitmap", lambda _: b"\xff" * (1 << (collocations.MAP_BITS - 3)))
+    assert sorted(map(tuple, collocations.collocations(df, support).collect())) == expected
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(collocations.xxhash, "xxh64_intdigest", lambda *_: 7)
+    known = collocations.Dictionary(["en", "de", "en"], ["a", "b", "b"])
+    part = collocations.Part("en", 9)
+    part.add("b c a")
+    part.close()
+    found = known.numbers(part)
+    assert [known.word(n) if n >= 0 else None for n in found.tolist()] == [b"b", None, b"a"]
+    assert known.langs[known.own[found[0]]] == "en"
+
+
 def test_scores_beyond_64_bits(spark):
     phrases = spark.createDataFrame([("en", "a b", 2, 3 * 10**12), ("en", "a", 1, 4 * 10**12), ("en", "b", 1, 5 * 10**12)], "lang string, phrase string, k int, f long")
     totals = spark.createDataFrame([("en", 10**16 + 1)], "lang string, n long")
